@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +92,9 @@ def _stems(name: str) -> set[str]:
 
 
 def _stem(word: str) -> str:
-    for end in ("ing", "ies", "es", "ed", "s", "e", "y"):
-        if word.endswith(end) and len(word) - len(end) >= 2:
-            return word[: -len(end)]
+    for _ in range(2):
+        end = next((e for e in ("ing", "ies", "es", "ed", "s", "e", "y") if word.endswith(e) and len(word) - len(e) >= 2), "")
+        word = word[: len(word) - len(end)]
     return word
 
 
@@ -170,7 +171,7 @@ def documented_functions(lang: str, lexed: Lexed, text: str) -> list[tuple[Islan
     out = []
     for f in parser.functions():
         first = _header_start(lang, lexed, f, parser.partner)
-        name_line, said, k = f.line, None, f.token
+        said = None
         lines = sorted({tokens[j][3] for j in range(first, f.token + 1)}, reverse=True)
         for line in lines:
             i = ending.get(line - 1)
@@ -202,13 +203,12 @@ def documented_functions(lang: str, lexed: Lexed, text: str) -> list[tuple[Islan
             if j < len(tokens) and tokens[j][1] == "{" and parser.partner[j] > 0:
                 last = max(last, tokens[parser.partner[j]][3])
         elif lang == "py":
-            indent, j = f.token, f.end
+            j = f.end
             column = tokens[first][2] - starts[tokens[first][3] - 1]
             while j < len(tokens) and (tokens[j][3] == tokens[f.end - 1][3] or tokens[j][2] - starts[tokens[j][3] - 1] > column or tokens[j - 1][3] == tokens[j][3]):
                 last = max(last, tokens[j][3])
                 j += 1
         out.append((f, said, tokens[first][3], last))
-        del name_line, k
     return out
 
 
@@ -227,8 +227,6 @@ def extract_functions(files: DataFrame, with_code: bool = True) -> DataFrame:
     ``start_line`` is the line of the name. ``fault`` says why the file is broken, if it is; its intact functions come out all
     the same. ``description`` is null where the comment and docstring are missing or trivial. Null content and unknown extensions give no rows.
     """
-    import pandas as pd
-
     ship(files.sparkSession)
     columns = [c.split()[0] for c in _FUNCTIONS.split(", ")]
 
@@ -262,8 +260,6 @@ def function_pairs(files: DataFrame, nodes: DataFrame, *, with_code: bool = True
     ``template_words`` words is dropped as boilerplate; there are at most 1 / share such templates, so they are broadcast.
     Longer repeated sentences are documentation that several functions share. Repeated rows give one pair.
     """
-    import pandas as pd
-
     found = materialize(extract_functions(files, with_code), "functions")
     ship(files.sparkSession)
     own = found.where("description is not null").withColumn("origin", F.lit("comment"))

@@ -24,7 +24,7 @@ def language_of(path: str | None) -> str | None:
 
 
 _MARKER = r"(?P<m>(?m:^)(?:<{7}|={7}|>{7}|\|{7})(?=[ \t\r\n]|\Z))"
-_SPACE = r"(?P<w>[ \t\f\v ﻿ -​　]+|\r\n?|[\n  ])"
+_SPACE = r"(?P<w>[ \t\f\v\u00a0\ufeff\u2000-\u200b\u3000]+|\r\n?|[\n\u2028\u2029])"
 _C_COMMENT = r"(?P<c>//[^\r\n]*|/\*[\s\S]*?\*/)"
 _WORD = r"(?P<i>[^\W\d][\w]*)"
 _DQ = r'"(?:[^"\\\r\n]|\\(?:\r\n|[\s\S]))*"'
@@ -43,7 +43,7 @@ _PATTERNS = {
     "go": rf"{_MARKER}|{_SPACE}|{_C_COMMENT}|{_WORD}|(?P<d>0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?i?|0[bB][01_]+i?|0[oO][0-7_]+i?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?i?)"
     r"|(?P<s>`[^`]*`|" rf"{_DQ}" r"|'(?:[^'\\\r\n]|\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}|[0-7]{3}|.))')"
     r"|(?P<p><<=|>>=|&\^=|\.\.\.|:=|<-|&\^|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|<<|>>|[{}()\[\];,<>+\-*/%&|^!~?:=.])",
-    "py": rf"{_MARKER}|(?P<w>[ \t\f﻿]+|\\\r?\n|\r\n?|\n)|(?P<c>\#[^\r\n]*)"
+    "py": rf"{_MARKER}|(?P<w>[ \t\f\ufeff]+|\\\r?\n|\r\n?|\n)|(?P<c>\#[^\r\n]*)"
     r"|(?P<s>(?:[rRbBuUfFtT]{1,2})?(?:'''(?:[^\\]|\\[\s\S])*?'''|" r'"""(?:[^\\]|\\[\s\S])*?"""|' rf"(?!''')(?!\"\"\")(?:{_DQ}|{_SQ})))"
     rf"|{_WORD}|(?P<d>0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)"
     r"|(?P<p>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%&|^@]=|[{}()\[\];,<>+\-*/%&|^~:=.@!])",
@@ -51,7 +51,7 @@ _PATTERNS = {
 _PATTERNS["ts"] = _PATTERNS["js"]
 _MATCH: dict[str, re.Pattern] = {}
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[a-z]*")
-_NEWLINE = re.compile(r"\r\n?|[\n  ]")
+_NEWLINE = re.compile(r"\r\n?|\n")
 _RUST_COMMENT = re.compile(r"/\*|\*/")
 # JavaScript words after which a slash starts a regular expression.
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await"}

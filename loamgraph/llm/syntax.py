@@ -592,7 +592,7 @@ def _check_python(lx: Lexed, text: str) -> None:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            compile(text.removeprefix("﻿"), "file", "exec", ast.PyCF_ONLY_AST | 0x400000, dont_inherit=True)
+            compile(text.removeprefix("\ufeff"), "file", "exec", ast.PyCF_ONLY_AST | 0x400000, dont_inherit=True)
     except (SyntaxError, ValueError) as e:
         raise Fault(f"{getattr(e, 'msg', e)} at line {getattr(e, 'lineno', 0)}") from None
     except (RecursionError, MemoryError):
