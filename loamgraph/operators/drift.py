@@ -215,5 +215,19 @@ def consistent_table(records: DataFrame) -> DataFrame:
             tries.append(value)
             used.append(alias)
         cols.append(F.coalesce(*tries).alias(re.sub(r"(?<=[a-z])([A-Z])", lambda m: "_" + m[1].lower(), name)))
-    extras = F.to_json(F.map_filter("_m", lambda k, v: ~k.isin(used)))
+
+    def left_over(k: Column, v: Column) -> Column:
+        kind, lost = F.schema_of_variant(v), ~k.isin(used)
+        for sql_type in dict.fromkeys(TABLE_TYPES.values()):
+            names = [a for c, t in TABLE_TYPES.items() if t == sql_type for a in [c, *RENAMES[c]]]
+            if sql_type.startswith("array"):
+                cannot = ~kind.startswith("ARRAY") & (kind != "STRING")
+            elif sql_type in ("bigint", "double"):
+                cannot = F.try_variant_get(v, "$", "string").try_cast(sql_type).isNull()
+            else:
+                cannot = F.try_variant_get(v, "$", sql_type).isNull() | kind.rlike("^(ARRAY|OBJECT)")
+            lost = lost | k.isin(names) & (kind != "VOID") & cannot
+        return lost
+
+    extras = F.to_json(F.map_filter("_m", left_over))
     return rows.select("record_id", "stream", "prefix", "written_at", *cols, extras.alias("extras"))
