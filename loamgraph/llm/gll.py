@@ -34,7 +34,7 @@ GRAMMARS: dict[str, dict[str, list[tuple[str, ...]]]] = {
     "go": {"Function": [("'func", "Receiver", "NAME", "TypeParams", "PARENS")], "Receiver": [(), ("PARENS",)], "TypeParams": [(), ("BRACKETS",)]},
     "rs": {"Function": [("'fn", "NAME", "TypeParams", "PARENS")], "TypeParams": [(), ("ANGLES",)]},
     "java": {
-        "Function": [("NAME", "PARENS", "Dims", "Throws", "Body")],
+        "Function": [("NAME", "PARENS", "Dims", "Throws", "Body"), ("MEMBER", "PARENS", "Throws", "BRACES")],
         "Dims": [(), ("BRACKETS", "Dims")],
         "Throws": [(), ("'throws", "Types")],
         "Types": [("Type",), ("Types", "',", "Type")],
@@ -135,10 +135,12 @@ class Parser:
             if kind != "i" or text in self.reserved:
                 return -1
             before = self.tokens[pos - 1] if pos else ("", "", 0, 0)
+            if symbol == "MEMBER" and self.lang == "java":  # a constructor without modifiers
+                return pos + 1 if before[0] == "p" and before[1] in ("{", "}", ";") else -1
             if symbol == "MEMBER" and not (before[1] in _MEMBER_BEFORE or before[3] != self.tokens[pos][3] and before[1] not in (".", "=", "(", ",", "function")):
                 return -1
             if symbol == "NAME" and self.lang == "java":  # a return type or a modifier stands before it
-                typed = before[0] == "i" and before[1] not in _JAVA_NOT_TYPE or before[1] in (">", "]") or before[1] in ("{", "}", ";")
+                typed = before[0] == "i" and before[1] not in _JAVA_NOT_TYPE or before[1] in (">", "]")
                 return pos + 1 if typed else -1
             return pos + 1
         if symbol == "PARENS":

@@ -24,6 +24,7 @@ _CELLS = re.compile(r"\s*(?:[^,\s][^,]*,){3,}[^,\s]*$")
 _RULE = re.compile(r"\s*(?:\|.*\|\s*$|[-=+|: ]{6,}$|#{1,6}\s)")
 _RECORD = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\[?(?:INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b|[\w.\-]+\s*[=:]\s*\S*\s*$|[\w.\-/\\]+\.\w{1,5}(?::\d+)?\s*$)")
 _NOISE = re.compile(r"</?\w+>|<\|\w+\|>|\[[A-Z]+\]|\d[\d.,]*|\s{2,}")
+_BLANK = re.compile(r"[\s\u200b-\u200f\u2060\ufeff]*\Z")
 _DIGITS = re.compile(r"\d+")
 WRAP = 38  # a line at least this long may go on in the next
 
@@ -112,7 +113,7 @@ def statistics(text: str | None) -> tuple[str, list[float]] | None:
 
     The language is the one whose common words are most frequent, ``other`` where they make up less than a twentieth.
     """
-    if not text or not text.strip() or not text.strip("\ufeff\u200b \t\r\n"):
+    if not text or _BLANK.match(text):
         return None
     words = _WORD.findall(text.lower())
     n = len(words)

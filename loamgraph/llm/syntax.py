@@ -214,7 +214,7 @@ def _check_script(lx: Lexed, ts: bool) -> None:
                     if text == "," and pk == "p" and pt in ("{", ";"):
                         raise Fault(f", after {pt} at line {line}")
                 elif text in _JS_BINARY and (pk == "p" or not pk):
-                    if pt in ("(", "[", ",", ";", "{", "") and text not in ("*",) and not (ts and text in ("|", "&", "?", ":", "=>")):
+                    if pt in ("(", "[", ",", ";", "{", "") and text not in ("*",) and not (ts and text in ("|", "&", "?", ":", "=>")) and not (ts and text == ">" and pt == ","):
                         if not (text == "=" and pt == "("):
                             raise Fault(f"{text} after {pt or 'the start'} at line {line}")
                     elif pt == "" and text == "*":
