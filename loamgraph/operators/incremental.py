@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.keys import content_hash, path_key
-from loamgraph.session import scratch_path
+from loamgraph.session import materialize, scratch_path
 
 
 class VersionedTarget:
@@ -163,6 +163,7 @@ def replay_ok_runs(snapshots: DataFrame, build_runs: DataFrame, root: str | None
     spark = snapshots.sparkSession
     root = root or scratch_path(spark, "incremental")
     source = ok_listings(listed_files(snapshots, build_runs), build_runs)
+    source = materialize(source, "listings")  # each publication reads it several times
     run = IncrementalRun(VersionedTarget(spark, root), ["path"], group="prefix")
     numbers = build_runs.where("status = 'ok'").dropDuplicates(["run_id"]).groupBy("prefix").count().agg(F.max("count")).first()
     last = numbers[0] or 0
