@@ -53,7 +53,7 @@ def typed_members(calls: DataFrame, members: DataFrame, parents: DataFrame, dept
         frontier = frontier.join(up, "type").select("call_id", F.col("parent").alias("type"), "name").distinct()
     found = reduce(DataFrame.unionByName, levels).distinct()
     best = found.groupBy("call_id").agg(F.min("level").alias("level"))
-    return found.join(best, ["call_id", "level"], "left_semi")
+    return found.join(best, ["call_id", "level"], "left_semi").select("call_id", "id", "level")
 
 
 # Extensions an import may leave out, in the order they are tried.
