@@ -16,13 +16,16 @@ _ALL_COMMON = frozenset().union(*COMMON_WORDS.values())
 
 _LINE = re.compile(r"\r\n?|[\n\v\f\x85\u2028\u2029]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=[:;])\s+")
-_CLAUSE = re.compile(r"[,;:|/\t()\[\]{}<>=•·→]|\s[-–—]+\s|\s{3,}")
+_SENTENCE = re.compile(r"[.!?…:;][\"'”»)\]]*\s+")
+_CLAUSE = re.compile(r"[,;:|/\t()\[\]{}<>=•·→]|\s(?:[-–—]+\s|\s\s+)")
 _LEAD = re.compile(r"^(?:\s*>)+\s?|^\s*(?:[-*+•→◦▪]|\d{1,3}[.)]|\(?[a-z]\))\s+|^\s*[A-Z][A-Za-z]{0,11}:\s+(?=\S+\s\S+\s\S+)")
-_CODE = re.compile(r"\s*(?://|/\*|\*/|\*\s|\*$|#!|@@|[+-]{1,3}(?=\S)|@\w|\$\s|>>>\s|at\s+[\w.$]+\(|<[/!a-zA-Z]|(?:def|class|import|from|return|if|for|while|func|fn|pub|use|let|const|var|export|function|package|public|private|static)\b.*[:;{}()=]\s*$)")
+_NO_PROSE = re.compile(
+    r"\s*(?://|/\*|\*/|\*\s|\*$|#!|@@|[+-]{1,3}(?=\S)|@\w|\$\s|>>>\s|at\s+[\w.$]+\(|<[/!a-zA-Z]|"
+    r"(?:def|class|import|from|return|if|for|while|func|fn|pub|use|let|const|var|export|function|package|public|private|static)\b.*[:;{}()=]\s*$|"  # code
+    r"\|.*\|\s*$|[-=+|: ]{6,}$|#{1,6}\s|"  # table rows, rules, headings
+    r"\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\[?(?:INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b|[\w.\-]+\s*[=:]\s*\S*\s*$|[\w.\-/\\]+\.\w{1,5}(?::\d+)?\s*$)"  # log lines, settings, paths
+)
 _CELLS = re.compile(r"\s*(?:[^,\s][^,]*,){3,}[^,\s]*$")
-_RULE = re.compile(r"\s*(?:\|.*\|\s*$|[-=+|: ]{6,}$|#{1,6}\s)")
-_RECORD = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\[?(?:INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b|[\w.\-]+\s*[=:]\s*\S*\s*$|[\w.\-/\\]+\.\w{1,5}(?::\d+)?\s*$)")
 _NOISE = re.compile(r"</?\w+>|<\|\w+\|>|\[[A-Z]+\]|\d[\d.,]*|\s{2,}")
 _BLANK = re.compile(r"[\s\u200b-\u200f\u2060\ufeff]*\Z")
 _DIGITS = re.compile(r"\d+")
@@ -45,7 +48,7 @@ def _units(text: str):
                 yield piece, True
             piece = ""
             continue
-        if fenced or bare[-1] in ";{}" or line.count("\t") > 2 or _CODE.match(line) or _RULE.match(line) or _RECORD.match(line) or bare.count(",") > 2 and _CELLS.match(line):
+        if fenced or bare[-1] in ";{}" or line.count("\t") > 2 or _NO_PROSE.match(line) or bare.count(",") > 2 and _CELLS.match(line):
             if piece:
                 yield piece, True
             piece = ""
@@ -71,11 +74,10 @@ def _is_sentence(part: str, words: list[str], ended: bool) -> bool:
     n = len(words)
     if n < (5 if ended else 7):
         return False
-    common = sum(w in _ALL_COMMON for w in words)
-    if common < 0.22 * n:
+    if sum(map(_ALL_COMMON.__contains__, words)) < 0.22 * n:
         return False
-    clauses = [len(_WORD.findall(c)) for c in _CLAUSE.split(part)]
-    longest, filled = max(clauses), sum(c > 0 for c in clauses)
+    clauses = [len(c.split()) for c in _CLAUSE.split(part)]
+    longest, filled = max(clauses), sum(map(bool, clauses))
     if filled >= 4 and n < 3.2 * filled:  # a list on one line, unless stray tokens cut a sentence up
         clauses = [len(_WORD.findall(c)) for c in _CLAUSE.split(_NOISE.sub(" ", part))]
         longest, filled = max(clauses), sum(c > 0 for c in clauses)
@@ -92,8 +94,10 @@ def sentence_chars(text: str) -> tuple[int, int]:
         total += size
         if not prose:
             continue
-        kept = short = 0
-        for part in _SENTENCE.split(unit):
+        kept = short = at = 0
+        ends = [m.end() for m in _SENTENCE.finditer(unit)]
+        for end in [*ends, len(unit)]:
+            part, at = unit[at:end].rstrip(), end
             words = _WORD.findall(part.lower())
             weight = len(part) - part.count(" ")
             if _is_sentence(part, words, part.rstrip("\"'”»)] ")[-1:] in (".", "!", "?", "…", ":", ";")):
