@@ -25,16 +25,24 @@ _NO_PROSE = re.compile(
     r"\|.*\|\s*$|[-=+|: ]{6,}$|#{1,6}\s|"  # table rows, rules, headings
     r"\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\[?(?:INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b|[\w.\-]+\s*[=:]\s*\S*\s*$|[\w.\-/\\]+\.\w{1,5}(?::\d+)?\s*$)"  # log lines, settings, paths
 )
+_DOCSTRING = re.compile(r"""[rRuU]?(\"\"\"|''')""")
+_OPERATORS = re.compile(r"[=(){}\[\]<>+]|\breturn\b")
+_GAP = re.compile(r"\S {3,}(?=\S)")
 _CELLS = re.compile(r"\s*(?:[^,\s][^,]*,){3,}[^,\s]*$")
 _NOISE = re.compile(r"</?\w+>|<\|\w+\|>|\[[A-Z]+\]|\d[\d.,]*|\s{2,}")
 _BLANK = re.compile(r"[\s\u200b-\u200f\u2060\ufeff]*\Z")
 _DIGITS = re.compile(r"\d+")
-WRAP = 38  # a line at least this long may go on in the next
+WRAP = 38  # a line of at least this length and five words may go on in the next
+
+
+def _is_row(line: str) -> bool:
+    """Whether a line is a table row in columns of spaces: two wide gaps or more and few words."""
+    return len(line.split()) <= 8 and len(_GAP.findall(line)) >= 2
 
 
 def _units(text: str):
     """Paragraph pieces as (text, is_prose_like): wrapped lines joined, list items, table rows, log lines and code apart."""
-    piece, fenced = "", False
+    piece, fenced, quoted = "", False, False
     for line in _LINE.split(text):
         bare = line.strip()
         if bare.startswith(("```", "~~~")):
@@ -48,7 +56,10 @@ def _units(text: str):
                 yield piece, True
             piece = ""
             continue
-        if fenced or bare[-1] in ";{}" or line.count("\t") > 2 or _NO_PROSE.match(line) or bare.count(",") > 2 and _CELLS.match(line):
+        quote = _DOCSTRING.match(bare)
+        if quote:  # a docstring belongs to code
+            quoted = not quoted and bare.count(quote[1]) < 2
+        if fenced or quote or quoted or bare[-1] in "{}" or bare[-1] == ";" and (_OPERATORS.search(bare) or bare.count(" ") < 4) or line.count("\t") > 2 or "   " in bare and _is_row(bare) or _NO_PROSE.match(line) or bare.count(",") > 2 and _CELLS.match(line):
             if piece:
                 yield piece, True
             piece = ""
@@ -63,7 +74,7 @@ def _units(text: str):
             if piece:
                 yield piece, True
             piece = bare
-        if len(line.strip()) < WRAP:
+        if len(line) < WRAP or len(line.strip()) < WRAP or line.count(" ") < 4:
             yield piece, True
             piece = ""
     if piece:

@@ -108,6 +108,7 @@ PROSE = [
     "nobody on the team expected the release to compare twice but the trace shows exactly that and we ask the parser whether it has moved",
     "> Nach dem Umbau sank die Zahl der Fälle von 126 auf 2. Wenn der Knoten frisch ist, wird der\n> Zwischenspeicher beim nächsten Mal übersprungen.",
     "Le registre reste en place tant que le lien n'est pas entièrement écrit. Nous avons choisi de ne pas\nreconstruire le segment à chaque démarrage.",
+    "Earlier versions would select the whole socket;\nnow only the broken part is touched. It took us two weeks;\nthe reader had been local since the migration of the store.",
     "El número de casos bajó de 44 a 10 después de la mudanza. El enlace se conserva hasta que el testigo queda escrito por completo.",
 ]
 OTHER = [
@@ -116,6 +117,8 @@ OTHER = [
     "| a | b |\n|---|---|\n| the | of |\n| and | to |", "[2025-04-14T02:00:42] E writer-16: batch and writer\n[2025-04-14T02:00:53] I broker-42: column with its shard",
     "def f(a):\n    return a\n\nclass B:\n    x = 1\n", "Inspect fetch filter flush archive sample registry parse discard scan fold router scanner merge invoice!",
     "zutkxpxfs qnc rkbwruktfw qracasuign dehtzkzjqq xfozz mdbahkbca", "Next »\nOpen in a new tab »\nAll of the docs\nLoading...", '{\n  "a": 1,\n  "b": ["the", "of"]\n}', "1PHuJgF/WX9MmdICGIUVWMXi9Iu3XVQiu8nBEvs30kD",
+    "outline         tally           header          receipt\nranker          yes             stream          61.03\nindex           yes             63.70           bucket\n",
+    '"""Part of the tools.\n\nWe chose to scan the closure before the setting because a ready edge made the old order unsafe.\n"""\nimport functools\n\ndef f():\n    return 1\n',
     "a.b = c\nd.e = 4\nf.g = 9", "[[[[ +[[[[$$$$ ~~~~bag::link%%%= <<quota$ }}{{{ ###",
 ]
 
@@ -137,7 +140,7 @@ def test_statistics():
 def test_not_prose(spark, rows):
     texts = PROSE * 6 + OTHER + ["", None, " \u00a0 "]
     df = docs(spark, *texts)
-    assert rows(Q.not_prose(df.union(df))) == [(k,) for k in range(30, 30 + len(OTHER))]
+    assert rows(Q.not_prose(df.union(df))) == [(k,) for k in range(len(PROSE) * 6, len(PROSE) * 6 + len(OTHER))]
     assert Q.scored_documents(df).count() == len(texts) - 3
     assert Q.not_prose(df.limit(0)).count() == 0
     assert Q.not_prose(docs(spark, None, "")).count() == 0
