@@ -262,3 +262,87 @@ def v6_drifted_check(r: Relations) -> DataFrame:
     from loamgraph.operators.freshness import drift
 
     return r.symbols.join(drift(G._last_listing(r), r.files).select("path"), "path", "left_semi").select("id", "summary_state")
+
+
+# --- sessions, concepts, topics, caps --------------------------------------------------------------------------------
+
+
+@query(
+    "v10_sessions",
+    """WITH o AS (SELECT user_id, ts, value, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o)
+SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""",
+)
+def v10_sessions(r: Relations) -> DataFrame:
+    from loamgraph.streaming.sessions import sessions
+
+    return sessions(r.raw("events")).select("user_id", F.unix_micros("session_start").alias("session_start"), "n", F.round("total", 4).alias("total"))
+
+
+def _tok(text: str) -> str:
+    from loamgraph.plans.sql import tokens_sql
+
+    return tokens_sql(text)
+
+
+_HEAD = "regexp_extract(text, '^#[^\\n\\r]*')"
+
+
+@query(
+    "x12_concepts",
+    f"""WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+tb AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tok(_HEAD)}) AS term FROM d) GROUP BY ALL),
+bb AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM d) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + (SELECT count(*) FROM d) / (1 + count(DISTINCT id))) AS idf FROM bb GROUP BY term)
+SELECT id, round(sum(tf * idf), 6) AS score FROM (SELECT id, term, 3 * tf AS tf FROM tb UNION ALL SELECT id, term, tf FROM bb) JOIN idf USING (term) WHERE term IN ({G._Q}) GROUP BY id""",
+)
+def x12_concepts(r: Relations) -> DataFrame:
+    from loamgraph.operators.workspace import concept_scores
+    from loamgraph.sources.relations import term_bag
+
+    docs = r.documents.where("text is not null").withColumn("head", F.regexp_extract("text", r"^(#[^\n\r]*)", 1))
+    bodies = term_bag(docs, "doc_id", "text")
+    stats = docs.agg(F.count("*").alias("n_docs"), F.lit(0.0).alias("avg_body_len"))
+    rows = concept_scores(term_bag(docs, "doc_id", "head", "name"), bodies, textsearch.inverse_frequency(bodies, stats), query_terms(G.QUESTION))
+    return rows.select("id", r6("score").alias("score"))
+
+
+@query(
+    "x19_topics",
+    statement(
+        NODES,
+        f"rc AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM (SELECT DISTINCT doc_id, text FROM documents WHERE path LIKE 'adr/%')) GROUP BY ALL)",
+        f"fl AS (SELECT path AS id, term, count(*) AS tf FROM (SELECT path, unnest({_tok('summary')}) AS term FROM gn WHERE summary IS NOT NULL) GROUP BY ALL)",
+        "n AS (SELECT count(DISTINCT id) AS n, sum(tf) AS a FROM rc)",
+        "rw AS (SELECT r.id AS record, r.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (a / n))) AS w FROM rc r JOIN (SELECT term, count(*) AS df FROM rc GROUP BY term) USING (term) JOIN (SELECT id, sum(tf) AS dl FROM rc GROUP BY id) USING (id) CROSS JOIN n)",
+        "fw AS (SELECT id AS file, term FROM (SELECT f.id, f.term, (1 + ln(tf)) * ln((SELECT count(DISTINCT id) FROM fl) / df) AS fw FROM fl f JOIN (SELECT term, count(*) AS df FROM fl GROUP BY term) USING (term)) WHERE fw > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY fw DESC, term) <= 50)",
+        "sc AS (SELECT file, record, sum(w) AS score FROM fw JOIN rw USING (term) GROUP BY ALL)",
+        "st AS (SELECT file, avg(score) AS mean, stddev_pop(score) AS sd, count(*) AS m FROM sc GROUP BY file)",
+        "zz AS (SELECT file, record, round(score, 6) AS score, round((score - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS z FROM sc JOIN st USING (file) WHERE sqrt(m - 1) >= 4.5)",
+        select="SELECT file, record, score, z FROM zz WHERE z >= 4.5 QUALIFY row_number() OVER (PARTITION BY file ORDER BY z DESC, record) <= 2",
+    ),
+)
+def x19_topics(r: Relations) -> DataFrame:
+    """Records that stand out for the summaries of a file."""
+    from loamgraph.sources.relations import term_bag
+
+    recs = term_bag(r.documents.where(F.col("path").startswith("adr/")), "doc_id", "text")
+    files = term_bag(r.nodes.where("summary is not null"), "path", "summary")
+    return textsearch.topic_links(recs, files).select("file", "record", r6("score").alias("score"), r6("z").alias("z"))
+
+
+@query("f6_inline_tests", statement(NODES, select=f"SELECT DISTINCT id FROM gn WHERE kind = 'function' AND starts_with(name, 'test_') AND suffix(path, '.py') AND {G._TEST_ASK.format(p='path')} UNION SELECT DISTINCT s.id FROM gn s JOIN gn h ON h.path = s.path AND h.kind = 'class' AND starts_with(h.name, 'Test') AND suffix(h.path, '.py') AND s.start_line >= h.start_line AND s.end_line <= h.end_line WHERE s.kind <> 'file'"))
+def f6_inline_tests(r: Relations) -> DataFrame:
+    from loamgraph.operators.workspace import inline_tests
+
+    return inline_tests(r.nodes)
+
+
+@query("w11_capped_find", statement(LINES, f"hit AS (SELECT path, line, row_number() OVER (ORDER BY path, line) AS k FROM gl WHERE regexp_matches(text, '{G._PATTERN_SQL}'))", select="SELECT count(*) FILTER (k <= 300) AS shown, count(*) FILTER (k > 300) AS hidden, (SELECT count(DISTINCT path) FROM hit WHERE path NOT IN (SELECT path FROM hit WHERE k <= 300)) AS dropped_files FROM hit"))
+def w11_capped_find(r: Relations) -> DataFrame:
+    """What a search report shows of its hits: the first 300 in file order, and how much is hidden. The cap is the report's feature."""
+    hits = spans.search_lines(r.lines, G.PATTERN).select("path", "line")
+    first = hits.orderBy("path", "line").limit(300)
+    total = hits.agg(F.count("*").alias("all"))
+    gone = hits.select("path").distinct().join(first.select("path").distinct(), "path", "left_anti").agg(F.count("*").alias("dropped_files"))
+    return first.agg(F.count("*").alias("shown")).join(total).join(gone).select("shown", (F.col("all") - F.col("shown")).alias("hidden"), "dropped_files")
