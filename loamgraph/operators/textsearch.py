@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.functions.text import TEST_PATH_ASK, WANTS_TESTS, query_terms
+from loamgraph.functions.text import TEST_PATH_ASK, WANTS_TESTS, query_terms, tokens
 from loamgraph.session import materialize, ship
 
 # Weights and thresholds of the ranking.
@@ -55,6 +57,36 @@ def lexical_scores(docs: DataFrame, terms: DataFrame, query: str, *, path_col: s
     return scored.select("id", (3 * F.col("n")).alias("name_score"), (2 * F.col("p")).alias("path_score"), F.col("b").alias("body_score"), total.alias("lexical")).where("lexical > 0")
 
 
+def _times(bag: Column, word: str) -> Column:
+    return F.size(F.filter(bag, lambda t: t == word))
+
+
+def lexical_scan(docs: DataFrame, query: str) -> DataFrame:
+    """The scores of :func:`lexical_scores` straight from the texts (id, name, path, body_text), without an index.
+
+    One pass tokenises each text and counts the query's terms in it, so no posting is ever shuffled; the counts, a few numbers a
+    document, give the corpus statistics (one row) and the scores of the documents that hold a term.
+    """
+    words = query_terms(query)
+    if not words:
+        return docs.select("id", *[F.lit(0.0).alias(c) for c in ("name_score", "path_score", "body_score", "lexical")]).where("false")
+    fields = {"n": "name", "p": "path", "b": "body_text"}
+    bags = docs.select("id", F.col("path").alias("_path"), *[F.coalesce(tokens(c), F.array().cast("array<string>")).alias(f) for f, c in fields.items()])
+    times = [_times(F.col(f), w).alias(f"{f}{k}") for k, w in enumerate(words) for f in fields]
+    # written once: it is small, and a filter on the counts would else tokenise the texts again for each term
+    counted = materialize(bags.select("id", "_path", F.size("b").alias("dl"), *times), "term-counts")
+    has = [(F.col(f"n{k}") + F.col(f"p{k}") + F.col(f"b{k}")) > 0 for k in range(len(words))]
+    stats = counted.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("body"), *[F.count_if(h).alias(f"df{k}") for k, h in enumerate(has)])
+    rows = counted.where(reduce(Column.__or__, has)).join(F.broadcast(stats))
+    norm = F.when(F.col("body") > 0, F.col("dl") / (F.col("body") / F.col("n_docs"))).otherwise(F.lit(1.0))
+    idf = [F.log(1 + F.col("n_docs") / (1 + F.col(f"df{k}"))) for k in range(len(words))]
+    add = lambda parts: reduce(Column.__add__, parts)
+    name, path = (add([F.col(f"{f}{k}") * i for k, i in enumerate(idf)]) for f in "np")
+    body = add([i * (F.col(f"b{k}") * (K1 + 1) / (F.col(f"b{k}") + K1 * (1 - B + B * norm))) for k, i in enumerate(idf)])
+    scored = rows.select("id", (3 * name).alias("name_score"), (2 * path).alias("path_score"), body.alias("body_score"), rank_factor("_path", query).alias("_f"))
+    return scored.select("id", "name_score", "path_score", "body_score", ((F.col("name_score") + F.col("path_score") + F.col("body_score")) * F.col("_f")).alias("lexical")).where("lexical > 0")
+
+
 def rank_factor(path: str, query: str):
     """1, or the penalty of a test path or a scripts folder that the query does not ask for."""
     import re

@@ -80,7 +80,7 @@ def a6_corpus_stats(r: Relations) -> DataFrame:
 
 
 def _lexical(r: Relations) -> DataFrame:
-    return textsearch.lexical_scores(r.nodes, r.terms, QUESTION)
+    return textsearch.lexical_scan(r.nodes, QUESTION)
 
 
 @query("x5_lexical", statement(TERMS, _LEX, select="SELECT id, round(name_score, 6) AS name_score, round(path_score, 6) AS path_score, round(body_score, 6) AS body_score, round(lexical, 6) AS lexical FROM lex WHERE lexical > 0"))
@@ -88,6 +88,12 @@ def x5_lexical(r: Relations) -> DataFrame:
     return _lexical(r).select("id", *[r6(c).alias(c) for c in ("name_score", "path_score", "body_score", "lexical")])
 
 
+@query("x5_lexical_index", statement(TERMS, _LEX, select="SELECT id, round(lexical, 6) AS lexical FROM lex WHERE lexical > 0"))
+def x5_lexical_index(r: Relations) -> DataFrame:
+    """The same from postings."""
+    return textsearch.lexical_scores(r.nodes, r.terms, QUESTION).select("id", r6("lexical").alias("lexical"))
+
+
 @query("t2_ask_top", statement(TERMS, _LEX, select="SELECT id, round(lexical, 6) AS lexical FROM lex WHERE lexical > 0 ORDER BY round(lexical, 6) DESC, id LIMIT 8"))
 def t2_ask_top(r: Relations) -> DataFrame:
     """The eight best hits, a top-k report."""
