@@ -260,7 +260,8 @@ def function_pairs(files: DataFrame, nodes: DataFrame, *, with_code: bool = True
     ``template_words`` words is dropped as boilerplate; there are at most 1 / share such templates, so they are broadcast.
     Longer repeated sentences are documentation that several functions share. Repeated rows give one pair.
     """
-    found = materialize(extract_functions(files, with_code), "functions")
+    key = ["file_id", "start_line", "name"]
+    found = materialize(extract_functions(files, with_code).dropDuplicates(key), "functions")  # repeated files count once
     ship(files.sparkSession)
     own = found.where("description is not null").withColumn("origin", F.lit("comment"))
     silent = found.where("description is null").drop("description", "template")
@@ -284,7 +285,7 @@ def function_pairs(files: DataFrame, nodes: DataFrame, *, with_code: bool = True
     total = pairs.agg(F.count("*").alias("n"))
     common = short.groupBy(F.xxhash64("template").alias("hash")).agg(F.count("*").alias("times")).join(F.broadcast(total), F.col("times") >= F.greatest(F.lit(20), F.col("n") * template_share)).select("hash")
     kept = pairs.withColumn("hash", F.xxhash64("template")).join(F.broadcast(common), "hash", "left_anti")
-    return kept.drop("hash", "template").dropDuplicates(["file_id", "start_line", "name"])
+    return kept.drop("hash", "template").dropDuplicates(key)
 
 
 def documented(files: DataFrame, nodes: DataFrame) -> DataFrame:
