@@ -85,3 +85,14 @@ def test_nulls_and_empty_tables(spark, rows):
     odd = spark.createDataFrame([(None, None, None, None, None, None, None, None, None, None), (1, 1, None, None, None, None, None, None, None, None), (2, 2, None, "p/a", None, None, None, None, None, None)], SNAP)
     some = spark.createDataFrame([(1, "p", None, None, "ok", None), (2, "p", day(1), None, "ok", None), (None, None, None, None, None, None)], RUN)
     assert rows(changed_files(odd, some)) == []  # run 2 comes first, run 1 lists nothing
+
+
+def test_scratch_is_cleaned(spark):
+    from pathlib import Path
+
+    from loamgraph.session import clean_scratch, materialize, shared_dir
+
+    clean_scratch(spark)
+    df = materialize(spark.range(5), "probe")
+    assert df.count() == 5
+    assert clean_scratch(spark) == 1 and not list(Path(shared_dir(spark)).glob("probe-*")) and clean_scratch(spark) == 0
