@@ -160,6 +160,18 @@ def test_origins():
     assert H.origin_of("p/a.js", 'const T = "' + "A sentence of prose in a test. " * 40 + '";\n' + hand)[0] == "hand"
 
 
+def test_notes_below_a_long_banner():
+    banner = "".join(f"// Clause {k} of the licence.\n" for k in range(60))
+    code = "export function f(a) {\n  return a;\n}\n"
+    assert H.origin_of("p/src/a.js", banner + code) == ("hand", "none")
+    assert H.origin_of("p/src/a.js", banner + "// Code generated by protoc. DO NOT EDIT.\n" + code) == ("generated", "note")
+    assert H.origin_of("p/src/a.js", banner + "// Vendored from the upstream repository.\n" + code) == ("vendored", "note")
+    assert H.origin_of("p/gen/a.js", banner + "// Now maintained by hand.\n" + code) == ("hand", "note")
+    assert H.origin_of("p/src/a.js", banner + code + "// Code generated by protoc. DO NOT EDIT.\n") == ("hand", "none")
+    doc = '"""' + "Some words of the module.\n" * 60 + '@generated\n"""\nx = 1\n'
+    assert H.origin_of("p/src/a.py", doc) == ("generated", "note")
+
+
 def test_globs():
     import re
 
