@@ -62,6 +62,11 @@ def static_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return ids.unionByName(by_name).groupBy("doc_id", "id").agg(F.min("level").alias("level"))
 
 
+def exact_files(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, path: the files that a document links to exactly, by a node of theirs or by their path."""
+    return static_links(docs, nodes).join(nodes.select("id", "path"), "id").select("doc_id", "path").distinct()
+
+
 def file_mentions(docs: DataFrame, files: DataFrame) -> DataFrame:
     """doc_id, path, weight: how strongly a document names a file; its path counts 1, its name 0.6, its stem 0.3, a folder above it 0.1 each, over the square root of how many files share the token."""
     m = path_mentions(docs)

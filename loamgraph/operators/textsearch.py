@@ -215,12 +215,13 @@ def interleave(ranked: DataFrame, queue: str, order: list) -> DataFrame:
     return ranked.withColumn("depth", F.row_number().over(Window.partitionBy(queue).orderBy(*order)))
 
 
-def topic_links(records: DataFrame, files: DataFrame, *, top: int = 50, z_min: float = 4.5, per_file: int = 2) -> DataFrame:
+def topic_links(records: DataFrame, files: DataFrame, *, known: DataFrame | None = None, top: int = 50, z_min: float = 4.5, per_file: int = 2) -> DataFrame:
     """file, record, score, z: records whose BM25 weight over a file's characteristic terms stands out.
 
     ``records`` and ``files`` are term bags (id, term, tf). Record terms weigh by BM25 with idf ln(1 + (n - df + .5) / (df + .5));
     of a file the ``top`` terms by (1 + ln tf) ln(nf / df) select, and only select. Scores are standardised over the records a file
-    meets; too few of them cannot reach ``z_min`` and are left out.
+    meets; too few of them cannot reach ``z_min`` and are left out. ``known`` (file, record) are exact links: they count in the mean
+    and deviation, but take none of a file's ``per_file`` rows.
     """
     n = records.agg(F.count_distinct("id").alias("n"), F.sum("tf").alias("all_tf"))
     df = records.groupBy("term").agg(F.count("*").alias("df"))
@@ -238,6 +239,8 @@ def topic_links(records: DataFrame, files: DataFrame, *, top: int = 50, z_min: f
     per = scored.groupBy("file").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"), F.count("*").alias("m"))
     z = (F.col("score") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
     out = scored.join(per.where(F.sqrt(F.col("m") - 1) >= z_min), "file").withColumn("z", z).where(F.col("z") >= z_min)
+    if known is not None:
+        out = out.join(known, ["file", "record"], "left_anti")
     rank = Window.partitionBy("file").orderBy(F.desc("z"), "record")
     return out.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_file).select("file", "record", "score", "z")
 

@@ -323,7 +323,7 @@ def x12_concepts(r: Relations) -> DataFrame:
     ),
 )
 def x19_topics(r: Relations) -> DataFrame:
-    """Records that stand out for the summaries of a file."""
+    """Records of the folder ``adr`` that stand out for the summaries of a file; ``x19_record_topics`` takes all records."""
     from loamgraph.sources.relations import term_bag
 
     recs = term_bag(r.documents.where(F.col("path").startswith("adr/")), "doc_id", "text")
@@ -331,6 +331,19 @@ def x19_topics(r: Relations) -> DataFrame:
     return textsearch.topic_links(recs, files).select("file", "record", r6("score").alias("score"), r6("z").alias("z"))
 
 
+@query("x19_record_topics")
+def x19_record_topics(r: Relations) -> DataFrame:
+    """Every dated record, of whatever folder, that stands out for the summaries of a file and is not linked to it exactly."""
+    from loamgraph.operators.records import exact_files, record_entries
+    from loamgraph.sources.relations import term_bag
+
+    docs = r.documents.join(record_entries(r.documents).select("doc_id"), "doc_id", "left_semi")
+    docs = materialize(docs.select("doc_id", "path", "text"), "records")  # read for the weights, their statistics and the exact links
+    known = exact_files(docs, r.nodes).select(F.col("path").alias("file"), F.col("doc_id").alias("record"))
+    files = term_bag(r.nodes.where("summary is not null"), "path", "summary")
+    return textsearch.topic_links(term_bag(docs, "doc_id", "text"), files, known=known).select("file", "record", r6("score").alias("score"), r6("z").alias("z"))
+
+
 @query("f6_inline_tests", statement(NODES, select=f"SELECT DISTINCT id FROM gn WHERE kind = 'function' AND starts_with(name, 'test_') AND suffix(path, '.py') AND {G._TEST_ASK.format(p='path')} UNION SELECT DISTINCT s.id FROM gn s JOIN gn h ON h.path = s.path AND h.kind = 'class' AND starts_with(h.name, 'Test') AND suffix(h.path, '.py') AND s.start_line >= h.start_line AND s.end_line <= h.end_line WHERE s.kind <> 'file'"))
 def f6_inline_tests(r: Relations) -> DataFrame:
     from loamgraph.operators.workspace import inline_tests

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -187,6 +188,37 @@ def test_topic_links_find_the_odd_record(spark):
     assert [(r["file"], r["record"]) for r in got] == [("f", "r7")]
 
 
+def test_topics_of_all_records_without_exact_links(spark):
+    import re
+    from types import SimpleNamespace
+
+    from loamgraph.plans import answer_queries
+
+    # an odd record under adr/, one under guide/, two that name the file, and an odd document without a date
+    odd = {3: "ledger stamp", 7: "ledger stamp ledger stamp", 9: "ledger stamp see src/f.py", 11: "ledger stamp ledger stamp in `weigh`"}
+    texts = [(k, ("adr", "guide", "docs", "notes")[k % 4] + f"/{k}.md", f"# Note {k}\n\nDate: 2025-01-01\n\ncommon {odd.get(k, '')}") for k in range(200)]
+    texts.append((500, "adr/500.md", "# Note\n\ncommon ledger stamp ledger stamp ledger stamp"))
+    docs = spark.createDataFrame(texts, "doc_id long, path string, text string")
+    nodes = [("src/f.py", "file", "f.py", "src/f.py", None), ("src/f.py#weigh", "function", "weigh", "src/f.py", "ledger stamp common"), ("src/g.py", "file", "g.py", "src/g.py", "other words")]
+    nodes = spark.createDataFrame(nodes, "id string, kind string, name string, path string, summary string")
+    got = answer_queries.x19_record_topics(SimpleNamespace(documents=docs, nodes=nodes)).collect()
+
+    bags = {k: [w for w in re.findall("[a-z0-9]{2,}", t.lower()) if w not in text.STOP_WORDS] for k, _, t in texts if k != 500}
+    n, mean_len = len(bags), sum(map(len, bags.values())) / len(bags)
+    score = {}
+    for k, bag in bags.items():
+        for t in ("ledger", "stamp", "common"):
+            df, tf = sum(t in b for b in bags.values()), bag.count(t)
+            if tf:
+                score[k] = score.get(k, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean_len))
+    mean = sum(score.values()) / n
+    sd = (sum((v - mean) ** 2 for v in score.values()) / n) ** 0.5
+    z = {k: (v - mean) / sd for k, v in score.items()}
+    assert sorted(k for k, v in z.items() if v >= 4.5) == [3, 7, 9, 11]
+    assert sorted((r["file"], r["record"]) for r in got) == [("src/f.py", 3), ("src/f.py", 7)]
+    assert all(abs(r["z"] - z[r["record"]]) < 1e-5 and abs(r["score"] - score[r["record"]]) < 1e-5 for r in got)
+
+
 def test_ownership_decays(spark):
     commits = spark.createDataFrame([("a", "x", 1, "2025-01-01"), ("a", "x", 1, "2025-01-01"), ("a", "y", 2, "2024-09-03")], "area string, person string, sha long, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r["person"]: r["score"] for r in rollups.ownership(commits, now="2025-01-01", least=0.0).collect()}
