@@ -243,6 +243,7 @@ def _check_java(lx: Lexed) -> None:
     tokens, n = lx.tokens, len(lx.tokens)
     stack: list[list] = []
     pending, pk, pt, ppt, pline, run, marked = "", "", "", "", 0, 0, False
+    opened = -1  # the opener of the bracket closed last
     for k in range(n):
         kind, text, _, line = tokens[k]
         nxt = tokens[k + 1][1] if k + 1 < n else ""
@@ -303,7 +304,7 @@ def _check_java(lx: Lexed) -> None:
                         what, pending = "block", ""
                     elif pt in ("=", ",", "]", "(") or pt == "{" and inside == "array":
                         what = "array"
-                    elif pt == ")" and pk == "p" and inside in ("block", "array", "(", "head", "lambda") and _is_new(tokens, k):
+                    elif pt == ")" and pk == "p" and inside in ("block", "array", "(", "head", "lambda") and _is_new(tokens, opened):
                         what = "class"
                     else:
                         what = "block"
@@ -313,7 +314,7 @@ def _check_java(lx: Lexed) -> None:
                         raise Fault(f"{{ after a literal at line {line}")
                 if pk == "d" and text == "(" or pk == "p" and pt == "." and text in "([{":
                     raise Fault(f"{text} after {pt} at line {line}")
-                stack.append([text, what])
+                stack.append([text, what, k])
                 run, marked = 0, False
             elif text in ")]}":
                 if not stack or stack[-1][0] != _CLOSERS[text]:
@@ -324,7 +325,7 @@ def _check_java(lx: Lexed) -> None:
                     raise Fault(f"{text} after , at line {line}")
                 if pk == "p" and pt == ";" and text in ")]" and stack[-1][1] != "head":
                     raise Fault(f"{text} after ; at line {line}")
-                what = stack.pop()[1]
+                _, what, opened = stack.pop()
                 if text == "}" and what == "block" and not (pk == "p" and pt in (";", "}", "{", ":")):
                     raise Fault(f"statement without an end at line {line}")
                 run, marked = 0, what in ("head", "mark")
@@ -349,16 +350,9 @@ def _check_java(lx: Lexed) -> None:
         raise Fault("premature end of a declaration")
 
 
-def _is_new(tokens, k: int) -> bool:
-    """Whether the parenthesis that closes before ``k`` belongs to ``new Type(...)``."""
-    depth, j = 0, k - 1
-    while j >= 0 and k - j < 400:
-        text = tokens[j][1] if tokens[j][0] == "p" else ""
-        depth += (text == ")") - (text == "(")
-        if not depth:
-            break
-        j -= 1
-    j -= 1
+def _is_new(tokens, opened: int) -> bool:
+    """Whether the parenthesis at ``opened`` belongs to ``new Type(...)``."""
+    j = opened - 1
     while j >= 0 and (tokens[j][0] == "i" and tokens[j][1] != "new" or tokens[j][1] in (".", ">", "<", ",", "?")):
         j -= 1
     return j >= 0 and tokens[j][1] == "new"

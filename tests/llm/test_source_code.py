@@ -63,6 +63,17 @@ def test_markers_in_strings_and_comments_are_valid():
     assert syntax_fault("py", 's = """\n<<<<<<< a\n"""\n') is None
 
 
+def test_anonymous_classes_with_long_arguments():
+    def java(args, call="new Table"):
+        return f"class A {{\n  void f() {{\n    Table t = {call}({args}) {{\n      public int size() {{ return 1; }}\n    }};\n  }}\n}}\n"
+
+    many = ", ".join(f"g({k})" for k in range(400))
+    assert syntax_fault("java", java("1")) is None
+    assert syntax_fault("java", java(many)) is None
+    assert syntax_fault("java", java(f"h({many}), new B({many})")) is None
+    assert syntax_fault("java", java(many, "make")) is not None
+
+
 def files(spark, *rows):
     full = [(k, "p", path, None, None, None, hashlib.sha256((c or "").encode()).hexdigest(), "old", None, c, "clash", "clash") for k, (path, c) in enumerate(rows)]
     return spark.createDataFrame(full, FILE)
