@@ -79,6 +79,7 @@ class Parser:
         self.grammar, self.reserved = GRAMMARS[lang], RESERVED[lang]
         self.partner = self._match_brackets()
         self._done: dict[tuple[str, int], set[tuple[int, int]]] = {}
+        self._after_angle: dict[int, int] = {}  # by position of the "<"
 
     def _match_brackets(self) -> list[int]:
         partner, stack = [-1] * len(self.tokens), []
@@ -108,21 +109,30 @@ class Parser:
         return k if opener == "{" else -1
 
     def _angles(self, pos: int) -> int:
-        if self.tokens[pos][1] != "<":
+        """Position after the ``>`` that closes the ``<`` at a position; ``;`` or a closing bracket ends a stray one. Scanned once per position."""
+        if self.tokens[pos][:2] != ("p", "<"):
             return -1
-        depth, k, n = 0, pos, min(len(self.tokens), pos + 200)
+        if pos not in self._after_angle:
+            self._scan_angles(pos)
+        return self._after_angle[pos]
+
+    def _scan_angles(self, pos: int) -> None:
+        open_at, k, n = [], pos, len(self.tokens)
         while k < n:
             text = self.tokens[k][1] if self.tokens[k][0] == "p" else ""
             if text in ("(", "[", "{") and self.partner[k] > 0:
                 k = self.partner[k]
             elif text in (";", ")", "]", "}"):
-                return -1
+                break
             elif text and set(text) <= {"<", ">"}:
-                depth += text.count("<") - text.count(">")
-                if depth <= 0:
-                    return k + 1
+                open_at += [k] * text.count("<")
+                for _ in range(min(text.count(">"), len(open_at))):
+                    self._after_angle[open_at.pop()] = k + 1
+                if not open_at:
+                    return
             k += 1
-        return -1
+        for at in open_at:
+            self._after_angle[at] = -1
 
     def terminal(self, symbol: str, pos: int) -> int:
         """Position after the terminal, -1 if it does not stand here."""

@@ -103,6 +103,18 @@ def test_every_form_of_a_function():
     assert names("py", "async def f(a: dict[str, int] = {}) -> list[int]:\n    def g(): pass\n") == [("f", 1), ("g", 2)]
 
 
+def test_long_lists_in_angle_brackets():
+    fields = "; ".join(f"f{k}: string" for k in range(300))
+    assert names("ts", f"class A {{\n  async load(a: number): Promise<{{ {fields} }}> {{ return a; }}\n}}\n") == [("load", 2)]
+    assert names("ts", f"const f = (a: number): Promise<{{ {fields} }}> => g(a);\n") == [("f", 1)]
+    many = ", ".join(f"T{k}" for k in range(300))
+    assert names("ts", f"function f<{many}>(a: T1) {{ }}\n") == [("f", 1)]
+    assert names("rs", f"fn f<{many}>(a: T1) {{ }}\n") == [("f", 1)]
+    nested = "M<K, " * 300 + "V" + ">" * 300
+    assert names("ts", f"function f(a): {nested} {{ }}\nconst g = (a): {nested} => a;\n") == [("f", 1), ("g", 2)]
+    assert names("ts", "if (a < b) { }\n" * 3 + "const x = a < b;\nfunction f<T>(a: T) { }\n") == [("f", 5)]
+
+
 def test_intact_functions_of_broken_files():
     assert names("js", "function a() {}\nfunction b( {\nfunction c() { return [1 }\nfunction d() {}\n")[0] == ("a", 1)
     assert ("d", 4) in names("js", "function a() {}\nfunction b( {\nfunction c() { return [1 }\nfunction d() {}\n")
