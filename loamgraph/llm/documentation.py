@@ -160,6 +160,62 @@ def _header_start(lang: str, lexed: Lexed, f: Island, partner: list[int]) -> int
     return k
 
 
+def _last_token(lang: str, parser: Parser, f: Island) -> int:
+    """Index of the last token of a function whose declaration was matched: of its body in braces, of an arrow's expression, or of
+    the declaration if there is no body."""
+    tokens, partner, n = parser.tokens, parser.partner, len(parser.tokens)
+    j = end = min(f.end, n)
+    if lang in ("js", "ts"):
+        if tokens[end - 1][1] == "=>":
+            return _expression_end(lang, parser, end)
+        if tokens[end - 1][1] != ")":  # the match holds the body
+            return end - 1
+        if j < n and tokens[j][1] == ":":  # a type may hold braces; the body's stand after a whole type
+            ends = sorted(e for e, _ in parser.parse("Annotation", j) if j + 1 < e < n)
+            j = next((e for e in ends if tokens[e][1] == "{" and tokens[e - 1][1] not in ("|", "&", "=>", ".", "?", "is", "keyof", "extends")), n)
+        return partner[j] if j < n and tokens[j][1] == "{" and partner[j] > 0 else end - 1
+    while j < n and tokens[j][1] not in (";", "}"):
+        if lang == "go" and tokens[j][3] != tokens[j - 1][3]:  # the body begins on the line where the result ends
+            break
+        if tokens[j][1] == "{" and tokens[j - 1][1] not in ("struct", "interface", "<"):
+            return partner[j] if partner[j] > 0 else end - 1
+        j = partner[j] + 1 if tokens[j][1] in ("(", "[", "{") and partner[j] > j else j + 1
+    return end - 1
+
+
+_GOES_ON = {"in", "instanceof", "as", "satisfies"}
+_WANTS_MORE = _GOES_ON | {"await", "new", "typeof", "void", "delete", "yield", "async", "function", "class", "extends"}
+
+
+def _expression_end(lang: str, parser: Parser, at: int) -> int:
+    """Index of the last token of the arrow body that begins at a position: a block, or an expression up to a ``,``, a ``;``, a closing
+    bracket, or a line that cannot carry it on."""
+    tokens, partner, n = parser.tokens, parser.partner, len(parser.tokens)
+    if at < n and tokens[at][1] == "{" and tokens[at][0] == "p":
+        return partner[at] if partner[at] > 0 else at - 1
+    j, last = at, at - 1
+    while j < n:
+        kind, text, _, line = tokens[j]
+        if kind == "p" and text in (",", ";", ")", "]", "}"):
+            break
+        if j > at and line != tokens[last][3]:
+            before = tokens[last]
+            whole = before[1] in (")", "]", "}", "++", "--") if before[0] == "p" else before[1] not in _WANTS_MORE
+            if whole and (text in ("{", "++", "--", "!", "@", "~") if kind == "p" else text not in _GOES_ON):
+                break
+        if kind == "p" and text in ("(", "[", "{"):
+            if partner[j] < 0:
+                break
+            j = partner[j]
+        elif lang == "ts" and text == "<" and kind == "p":  # type arguments of a call or a cast
+            end = parser._angles(j)
+            if end > 0 and (end < n and tokens[end][1] == "(" or tokens[j - 2][1] in ("as", "satisfies")):
+                j = end - 1
+        last = j
+        j += 1
+    return last
+
+
 def documented_functions(lang: str, lexed: Lexed, text: str) -> list[tuple[Island, str | None, int, int]]:
     """(declaration, description or None, first line, last line) of every function of a file."""
     parser = Parser(lang, lexed)
@@ -197,11 +253,7 @@ def documented_functions(lang: str, lexed: Lexed, text: str) -> list[tuple[Islan
                 said = description(docstring_lines(tokens[j][1]), f.name)
         last = tokens[min(f.end, len(tokens)) - 1][3]
         if lang in ("js", "ts", "go", "rs"):
-            j = f.end
-            while j < len(tokens) and j < f.end + 40 and tokens[j][1] not in ("{", ";", "}"):
-                j = parser.partner[j] + 1 if tokens[j][1] in ("(", "[") and parser.partner[j] > j else j + 1
-            if j < len(tokens) and tokens[j][1] == "{" and parser.partner[j] > 0:
-                last = max(last, tokens[parser.partner[j]][3])
+            last = max(last, tokens[_last_token(lang, parser, f)][3])
         elif lang == "py":
             j = f.end
             column = tokens[first][2] - starts[tokens[first][3] - 1]

@@ -148,6 +148,21 @@ def test_where_documentation_may_stand():
     assert of("py", f'# TODO\ndef f():\n    """{doc}\n\n    :param x: y\n    """\n') == {"f": doc}
 
 
+def test_code_runs_to_the_end_of_the_body():
+    def of(lang, text):
+        return {f.name: (first, last) for f, _, first, last in D.documented_functions(lang, lex(lang, text), text)}
+
+    bounds = "".join(f"    T{k}: Clone + Send,\n" for k in range(30))
+    assert of("rs", f"fn f<T>(a: T) -> u8\nwhere\n{bounds}{{\n  1\n}}\nfn g();\nfn h() {{\n}}\n") == {"f": (1, 35), "g": (36, 36), "h": (37, 38)}
+    fields = "".join(f"  f{k}: string;\n" for k in range(30))
+    assert of("ts", f"function f(a): Promise<{{\n{fields}}}> {{\n  g();\n}}\nfunction k(a): {{ x: 1 }} {{\n}}\nfunction o(a): string;\n") == {"f": (1, 34), "k": (35, 36), "o": (37, 37)}
+    assert of("go", "func f(a int) (b struct {\n\tx int\n}, c error) {\n\tg()\n}\nfunc e() interface{} {\n\tg()\n}\nfunc asm(a int) int\nfunc h() {\n}\n") == {"f": (1, 5), "e": (6, 8), "asm": (9, 9), "h": (10, 11)}
+    assert of("js", "const f = (a) =>\n  a.map(b)\n    .filter(c => {\n      return c;\n    });\nconst g = 1;\n") == {"f": (1, 5)}
+    assert of("js", "const f = (a) =>\n  a +\n  b\n    .c(1)\nconst g = (a) => ({\n  x: 1,\n})\nrun()\nconst h = (a) => {\n  b()\n}\n") == {"f": (1, 4), "g": (5, 7), "h": (9, 11)}
+    assert of("ts", "const o = { f: (a) =>\n  g<A, B>(a)\n    .b, h: () => 1 };\n") == {"f": (1, 3), "h": (3, 3)}
+    assert of("js", "class A {\n  f() {\n    a();\n  }\n  g() {\n    b();\n  }\n}\n") == {"f": (2, 4), "g": (5, 7)}
+
+
 def test_pairs_and_summaries(spark, rows):
     doc = "Reads all rows and drops the stale ones."
     df = files(spark, ("p/a.js", f"/** {doc} */\nfunction a() {{}}\nfunction b() {{}}\nfunction c() {{}}\n"), ("p/b.js", f"/** {doc} */\nfunction a() {{}}\n}}"), ("p/c.py", None), (None, "x"))
