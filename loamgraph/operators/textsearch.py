@@ -249,6 +249,20 @@ def topic_links(records: DataFrame, files: DataFrame, *, known: DataFrame | None
 BM25F_WEIGHTS = {"name": 3.0, "path": 2.0, "head": 1.0, "body": 0.5}
 
 
+def text_queries(bags: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, term, qw: texts as queries of :func:`bm25f`. ``bags`` has id, field (``body``, ``head``), term, tf of the texts.
+
+    A term counts as often as the text holds it, and twice more if the heading does; c of them weigh (1 + ln c) idf. Terms that
+    no document holds are left out.
+    """
+    times = F.sum(F.when(F.col("field") == "head", F.lit(2)).otherwise(F.col("tf")))
+    counts = bags.groupBy("id", "term").agg(times.alias("c"))
+    n = docs.agg(F.count_distinct("id").alias("n"))
+    df = docs.groupBy("term").agg(F.count_distinct("id").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return counts.join(df, "term").join(F.broadcast(n)).select("id", "term", ((1 + F.log("c")) * idf).alias("qw"))
+
+
 def bm25f(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """query, id, score: BM25F of term bags. ``queries`` has id, term, qw; ``docs`` id, field, term, tf.
 

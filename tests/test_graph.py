@@ -219,6 +219,36 @@ def test_topics_of_all_records_without_exact_links(spark):
     assert all(abs(r["z"] - z[r["record"]]) < 1e-5 and abs(r["score"] - score[r["record"]]) < 1e-5 for r in got)
 
 
+def test_texts_as_queries_equal_brute_force(spark):
+    from types import SimpleNamespace
+
+    from loamgraph.plans import graph_queries
+
+    rnd = random.Random(3)
+    words = [f"word{k}" for k in range(12)]
+    fields = {f"n{k}": {f: [rnd.choice(words) for _ in range(rnd.randint(1, 9))] for f in ("name", "path", "body")} for k in range(30)}
+    terms = spark.createDataFrame([(i, f, t, bag.count(t)) for i, fs in fields.items() for f, bag in fs.items() for t in set(bag)], "id string, field string, term string, tf long")
+    heads = {k: " ".join(rnd.sample(words, 2)) for k in (0, 50, 100)}
+    bodies = {k: " ".join(rnd.choice(words + ["unseen"]) for _ in range(20)) for k in (0, 50, 51, 100, 150)}
+    texts = {k: (f"# {heads[k]}\n\n" if k in heads else "") + b for k, b in bodies.items()} | {200: None, 250: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["query"], r["id"]): r["score"] for r in graph_queries.x20_text_links(SimpleNamespace(documents=docs, terms=terms)).collect()}
+
+    n, want = len(fields), {}
+    idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t in words for d in [sum(any(t in b for b in fs.values()) for fs in fields.values())] if d}
+    mean = {f: sum(len(fs[f]) for fs in fields.values()) / n for f in ("name", "path", "body")}
+    for k, t in texts.items():
+        bag = (t or "").replace("#", "").split() if k % 50 == 0 else []
+        for term in set(bag) & set(idf):
+            c = bag.count(term) + 2 * (term in heads.get(k, "").split())
+            for i, fs in fields.items():
+                x = sum(w * fs[f].count(term) / (0.25 + 0.75 * len(fs[f]) / mean[f]) for f, w in (("name", 3), ("path", 2), ("body", 0.5)))
+                if x:
+                    want[k, i] = want.get((k, i), 0) + (1 + math.log(c)) * idf[term] ** 2 * x / (1.2 + x)
+    assert got.keys() == want.keys() and {k for k, _ in got} == {0, 50, 100, 150}
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_ownership_decays(spark):
     commits = spark.createDataFrame([("a", "x", 1, "2025-01-01"), ("a", "x", 1, "2025-01-01"), ("a", "y", 2, "2024-09-03")], "area string, person string, sha long, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r["person"]: r["score"] for r in rollups.ownership(commits, now="2025-01-01", least=0.0).collect()}
