@@ -9,13 +9,14 @@ from collections import Counter
 COMMON_WORDS = {
     "en": set("the of and to in a is that it was for on are as with his they be at one have this from or had by but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more go see no way could people my than first been who its now find long down did get come made may part over so only after before both again any because does where even here whether since while though although yet rather most once still also our us you i those such few without against between under must should might never always nobody anyone everything something nothing".split()),
     "de": set("der die das und in zu den von mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei hatte kann gegen vom können schon wenn habe seine ihre dann unter wir soll ich eines jahr zwei diese dieser wieder keine kein uns ohne beim nie erst ob was warum damit jeden jedem beide beiden trotzdem weil ihr dessen deren alle immer nichts niemand lange bevor bleibt".split()),
-    "fr": set("de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont ou avec son lui nous comme mais on y si leur tout elle aux même ces sans fait été être avant après peut deux ont cette cela entre encore où dont ses sa sous vers quand tant rien déjà donc ainsi car je vous ils leurs notre chaque aucun jamais toujours lorsque faut mieux vaut n d l s c qu j m t".split()),
+    "fr": set("de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont ou avec son lui nous comme mais on y si leur tout elle aux même ces sans fait été être avant après peut deux ont cette cela entre encore où dont ses sa sous vers quand tant rien déjà donc ainsi car je vous ils leurs notre chaque aucun jamais toujours lorsque faut mieux vaut".split()),
     "es": set("de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien tiempo mismo ese ahora cada e vida otro después te otros aunque esa eso hace otra tan durante siempre nadie antes quien cual nada poco sea hacía basta queda".split()),
 }
 _ALL_COMMON = frozenset().union(*COMMON_WORDS.values())
 
 _LINE = re.compile(r"\r\n?|[\n\v\f\x85\u2028\u2029]")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_WORD = re.compile(r"(?<!\d)[^\W\d_]+(?:['’][^\W\d_]+)*(?!\d)")  # not the letters of a number such as 3f
+_OUTER = ".,;:!?…\"'”»)]([«“‘’-–—"
 _SENTENCE = re.compile(r"[.!?…:;][\"'”»)\]]*\s+")
 _CLAUSE = re.compile(r"[,;:|/\t()\[\]{}<>=•·→]|\s(?:[-–—]+\s|\s\s+)")
 _LEAD = re.compile(r"^(?:\s*>)+\s?|^\s*(?:[-*+•→◦▪]|\d{1,3}[.)]|\(?[a-z]\))\s+|^\s*[A-Z][A-Za-z]{0,11}:\s+(?=\S+\s\S+\s\S+)")
@@ -120,7 +121,7 @@ def sentence_chars(text: str) -> tuple[int, int]:
     return inside, total
 
 
-STATISTICS = ["n_chars", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "sentence_share", "repeated_lines"]
+STATISTICS = ["n_chars", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "sentence_share", "repeated_lines", "word_tokens", "words_per_line"]
 
 
 def statistics(text: str | None) -> tuple[str, list[float]] | None:
@@ -143,7 +144,8 @@ def statistics(text: str | None) -> tuple[str, list[float]] | None:
     if counts[lang] < 0.05 * n or not n:
         lang = "other"
     lines = [x for x in (y.strip() for y in _LINE.split(text)) if x]
-    solid = sum(map(len, text.split())) or 1
+    tokens = text.split()
+    solid = sum(map(len, tokens)) or 1
     letters, digits = sum(map(len, words)), sum(map(len, _DIGITS.findall(text)))
     inside, total = sentence_chars(text)
     return lang, [
@@ -156,4 +158,6 @@ def statistics(text: str | None) -> tuple[str, list[float]] | None:
         common / n if n else 0.0,
         inside / total if total else 0.0,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
+        sum(t.strip(_OUTER).isalpha() for t in text.replace("'", "").replace("’", "").split()) / len(tokens) if tokens else 0.0,
+        n / len(lines) if lines else 0.0,
     ]

@@ -119,6 +119,7 @@ OTHER = [
     "zutkxpxfs qnc rkbwruktfw qracasuign dehtzkzjqq xfozz mdbahkbca", "Next »\nOpen in a new tab »\nAll of the docs\nLoading...", '{\n  "a": 1,\n  "b": ["the", "of"]\n}', "1PHuJgF/WX9MmdICGIUVWMXi9Iu3XVQiu8nBEvs30kD",
     "outline         tally           header          receipt\nranker          yes             stream          61.03\nindex           yes             63.70           bucket\n",
     '"""Part of the tools.\n\nWe chose to scan the closure before the setting because a ready edge made the old order unsafe.\n"""\nimport functools\n\ndef f():\n    return 1\n',
+    "00000000  1a fc 60 8c 9b 43 f8 4e 22 5f 07 d2 48 cc dd cb\n00000010  b8 73 c8 52 de 58 6d 3e 6f ef 74 46 8e d7 16 10\n00000020  22 d6 9d 55 e7 b1 7d 7d 90 c0 d5 60 63 12 9d 83",
     "a.b = c\nd.e = 4\nf.g = 9", "[[[[ +[[[[$$$$ ~~~~bag::link%%%= <<quota$ }}{{{ ###",
 ]
 
@@ -146,6 +147,13 @@ def test_not_prose(spark, rows):
     assert Q.not_prose(docs(spark, None, "")).count() == 0
 
 
+def test_tails_decide_without_the_share_of_sentences(spark):
+    df = docs(spark, *PROSE * 6, *OTHER)
+    judged = Q.judged_prose(Q.scores(Q.document_statistics(df).withColumn("sentence_share", Q.F.lit(1.0)))).collect()
+    far = {r.doc_id for r in judged if r.decided_by == "tails"}
+    assert len(far) >= 5 and all(k >= len(PROSE) * 6 for k in far) and all(r.tails >= Q.DECIDING and not r.is_prose for r in judged if r.doc_id in far)
+
+
 def test_sketches_merge(spark):
     stats = Q.document_statistics(docs(spark, *PROSE * 4, *OTHER))
     sketches = Q.quantile_sketches(stats)
