@@ -215,7 +215,13 @@ def test_globs():
 
     hit = lambda g, p: bool(re.match(H.glob_regex(g), p))
     assert hit("*.pb.go", "a/b/x.pb.go") and not hit("/*.pb.go", "a/x.pb.go") and hit("a/**/x.js", "a/b/c/x.js") and hit("a/**/x.js", "a/x.js")
-    assert hit("dist/", "a/dist/x/y.js") and not hit("a/*.js", "a/b/x.js") and hit("x?.[ch]", "q/xy.c")
+    assert not hit("a/*.js", "a/b/x.js") and hit("x?.[ch]", "q/xy.c") and hit("dist/**", "dist/x/y.js") and not hit("dist/**", "a/dist/x/y.js")
+    assert H.glob_regex("dist/") is None and H.glob_regex("!x.js") is None  # attributes do not reach below a folder, and know no negation
+
+
+def test_attribute_lines():
+    got = H.attribute_lines('# *.c linguist-generated\n*.js linguist-generated -text\n"a b.js" linguist-vendored=false\n*.ts !linguist-generated\ndist/ linguist-generated\n')
+    assert [(n, kind, said) for n, _, kind, said in got] == [(2, "generated", True), (3, "vendored", False), (4, "generated", None)]
 
 
 def test_attribute_files_win_and_are_mined(spark, rows):
@@ -227,6 +233,22 @@ def test_attribute_files_win_and_are_mined(spark, rows):
     assert got["p/out/d.ts"][0] == "vendored" and got["q/deep/x.ts"] == ("vendored", "mined pattern") and got["q/other/x.ts"] == ("hand", "none")
 
 
+def test_unspecified_again(spark):
+    own = [("p/.gitattributes", "*.js linguist-generated\n"), ("p/src/.gitattributes", "b.js !linguist-generated\n"), ("p/src/b.js", ""), ("p/src/c.js", "")]
+    got = {r["path"]: (r["kind"], r["evidence"]) for r in H.file_origins(files(spark, *own)).collect()}
+    assert got["p/src/b.js"] == ("hand", "none") and got["p/src/c.js"] == ("generated", "attribute file")
+
+
+def test_patterns_are_mined_from_the_notes_of_the_files(spark):
+    hand, made = "def f(a):\n    return a\n", "# Code generated by protoc. DO NOT EDIT.\nx = 1\n"
+    own = [(f"r{k % 7}/src/{'deep' if k % 3 else 'core'}/f{k}.py", hand) for k in range(300)]
+    own += [(f"r{k % 7}/emitted/g{k}.py", made if k % 2 else hand) for k in range(40)]
+    own += [(f"r{k % 7}/mixed/g{k}.py", made if k % 2 else hand.replace("def", "# Once generated, now maintained by hand.\ndef")) for k in range(40)]
+    got = {r["path"]: (r["kind"], r["evidence"]) for r in H.file_origins(files(spark, *own)).collect()}
+    assert got["r0/emitted/g0.py"] == ("generated", "mined pattern") and got["r1/emitted/g1.py"] == ("generated", "note")
+    assert got["r0/mixed/g0.py"] == ("hand", "note") and got["r0/src/core/f0.py"] == ("hand", "none")
+
+
 def test_origin_edge_cases(spark, rows):
     df = files(spark, (None, None), ("", ""), ("p/a.min.js", None), ("p/a.js", "x" * 300_000), ("p/node_modules/a.js", ""))
     assert rows(H.not_by_hand(df.union(df))) == [(2,), (4,)]
