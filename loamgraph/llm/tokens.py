@@ -1,9 +1,9 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
-Texts are encoded in the Python workers, batch by batch, without a shuffle. A text longer than a chunk is cut up first, so
-that one huge text spreads over tasks: overlapping windows are pre-tokenised independently, and a cut is put where both
+A text longer than a chunk is cut up first: overlapping windows are pre-tokenised independently, and a cut is put where both
 scans of the overlap resynchronise; from a common boundary on, both scans are the same, as the pattern looks only forward.
-The pieces are then encoded on their own and their ids joined in order. Decoding joins the raw bytes of the ids.
+The pieces are then encoded on their own and their ids joined in order. Texts are encoded in the Python workers, batch by batch, without
+a shuffle; only the pieces of a huge text are spread over tasks. Decoding joins the raw bytes of the ids.
 """
 
 from __future__ import annotations
@@ -91,45 +91,59 @@ def _arrow_lists(ids: list[list[int]]):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode_corpus(documents: DataFrame, *, vocabulary: str = VOCABULARY, chunk: int = 1 << 18, overlap: int = 4096) -> DataFrame:
+CHUNK, OVERLAP = 1 << 13, 1 << 9  # characters of a piece, and of the overlap that is scanned twice on either side of a cut
+SPREAD = 1 << 20  # a text above so many characters is cut in one task and encoded in several
+
+
+def _huge_pieces(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """doc_id, copy, piece, text: the pieces of huge texts over all tasks; ``copy`` tells rows of the same doc_id apart."""
+    import pyarrow as pa
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, copy, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                parts = pieces(text, chunk, overlap)
+                for k in range(0, len(parts), 64):
+                    some = parts[k : k + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(some), pa.int64()), pa.array([copy] * len(some), pa.int64()), pa.array(range(k, k + len(some)), pa.int32()), pa.array(some, pa.string())], names=["doc_id", "copy", "piece", "text"])
+
+    parts = rows.select("doc_id", F.monotonically_increasing_id().alias("copy"), "text").mapInArrow(cut, "doc_id long, copy long, piece int, text string")
+    return parts.repartition(shuffle_partitions(rows.sparkSession), "copy", "piece")
+
+
+def _by_length(documents: DataFrame, chunk: int, spread: int) -> tuple[DataFrame, DataFrame]:
+    rows = documents.select("doc_id", "text")
+    length = F.coalesce(F.length("text"), F.lit(0))
+    return rows.where(length <= max(chunk, spread)), rows.where(length > max(chunk, spread))
+
+
+def encode_corpus(documents: DataFrame, *, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """doc_id, ids: the token ids of each text, without special tokens; text that looks like one is plain text.
 
     Null and empty texts have an empty list. Rows of the same doc_id are passed through one for one. Extra columns are ignored.
-    Ids do not depend on ``chunk``: texts up to that many characters are encoded where they lie, longer ones in pieces on several tasks.
+    Ids do not depend on the sizes: texts up to ``chunk`` characters are encoded at once, longer ones in pieces, those above ``spread`` on several tasks.
     """
     import pyarrow as pa
 
     ship(documents.sparkSession)
-    rows = documents.select("doc_id", "text")
-    usual = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk)
-    huge = rows.where(F.length("text") > chunk)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary).encode_ordinary
         for b in batches:
-            ids = _arrow_lists([enc(t) if t else [] for t in b.column(b.schema.get_field_index("text")).to_pylist()])
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            ids = _arrow_lists([[] if not t else enc(t) if len(t) <= chunk else [i for p in pieces(t, chunk, overlap) for i in enc(p)] for t in texts])
             keep = [b.column(k) for k, name in enumerate(b.schema.names) if name != "text"]
             yield pa.RecordBatch.from_arrays([*keep, ids], names=[n for n in b.schema.names if n != "text"] + ["ids"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, copy, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                parts = pieces(text, chunk, overlap)
-                for k in range(0, len(parts), 16):
-                    some = parts[k : k + 16]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(some), pa.int64()), pa.array([copy] * len(some), pa.int64()), pa.array(range(k, k + len(some)), pa.int32()), pa.array(some, pa.string())], names=["doc_id", "copy", "piece", "text"])
-
+    usual, huge = _by_length(documents, chunk, spread)
     short = usual.mapInArrow(encode, "doc_id long, ids array<int>")
-    parts = huge.select("doc_id", F.monotonically_increasing_id().alias("copy"), "text").mapInArrow(cut, "doc_id long, copy long, piece int, text string")
-    spread = parts.repartition(shuffle_partitions(documents.sparkSession), "copy", "piece")
-    encoded = spread.mapInArrow(encode, "doc_id long, copy long, piece int, ids array<int>")
+    encoded = _huge_pieces(huge, chunk, overlap).mapInArrow(encode, "doc_id long, copy long, piece int, ids array<int>")
     joined = encoded.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
-    long_ids = joined.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    return short.unionByName(long_ids)
+    return short.unionByName(joined.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids")))
 
 
-def count_tokens(documents: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens of each text; 0 for null and empty texts. Rows of the same doc_id are one row."""
+def count_tokens(documents: DataFrame, *, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
+    """doc_id, n_tokens of each text, by the same pieces; 0 for null and empty texts. Rows of the same doc_id are one row."""
     import pyarrow as pa
 
     ship(documents.sparkSession)
@@ -137,7 +151,12 @@ def count_tokens(documents: DataFrame, *, vocabulary: str = VOCABULARY) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary).encode_ordinary
         for b in batches:
-            sizes = [sum(len(enc(p)) for p in pieces(t, 1 << 18, 4096)) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
-
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(count, "doc_id long, n_tokens long").dropDuplicates(["doc_id"])
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            sizes = [0 if not t else len(enc(t)) if len(t) <= chunk else sum(len(enc(p)) for p in pieces(t, chunk, overlap)) for t in texts]
+            keep = [b.column(k) for k, name in enumerate(b.schema.names) if name in ("doc_id", "copy")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sizes, pa.int64())], names=[n for n in b.schema.names if n in ("doc_id", "copy")] + ["n_tokens"])
+
+    usual, huge = _by_length(documents.where("doc_id is not null"), chunk, spread)
+    short = usual.mapInArrow(count, "doc_id long, n_tokens long")
+    counted = _huge_pieces(huge, chunk, overlap).mapInArrow(count, "doc_id long, copy long, n_tokens long").groupBy("doc_id", "copy").agg(F.sum("n_tokens").alias("n_tokens"))
+    return short.unionByName(counted.select("doc_id", "n_tokens")).dropDuplicates(["doc_id"])

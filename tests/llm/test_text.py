@@ -34,8 +34,11 @@ def test_pieces_give_the_same_ids_at_any_size(spark):
             parts = T.pieces(t or "", chunk, overlap)
             assert "".join(parts) == (t or "")
             assert [i for p in parts for i in enc(p)] == enc(t or "")
-    got = {r["doc_id"]: list(r["ids"]) for r in T.encode_corpus(docs(spark, *texts), chunk=50, overlap=20).collect()}
-    assert got == {k: (enc(t) if t else []) for k, t in enumerate(texts)}
+    for spread in (50, 3000, 1 << 20):  # pieces on other tasks, some of them, none
+        got = {r["doc_id"]: list(r["ids"]) for r in T.encode_corpus(docs(spark, *texts), chunk=50, overlap=20, spread=spread).collect()}
+        assert got == {k: (enc(t) if t else []) for k, t in enumerate(texts)}
+        sizes = {r["doc_id"]: r["n_tokens"] for r in T.count_tokens(docs(spark, *texts), chunk=50, overlap=20, spread=spread).collect()}
+        assert sizes == {k: len(v) for k, v in got.items()}
 
 
 def test_encoding_and_counting_edges(spark, rows):
