@@ -25,6 +25,10 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_counts(*_graph(spark, sf_dir))
 
 
+def p2_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.orphan_transitions(*_graph(spark, sf_dir)[:3])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(table(spark, sf_dir, "build_records"))
 
@@ -33,5 +37,5 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent_table(table(spark, sf_dir, "build_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_table": p4_table}
-ORACLE = {"p1_found": oracle_core.P1_FOUND, "p2_found": oracle_core.P2_FOUND, "p2_counts": oracle_core.P2_COUNTS}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_transitions": p2_transitions, "p4_found": p4_found, "p4_table": p4_table}
+ORACLE = {"p1_found": oracle_core.P1_FOUND, "p2_found": oracle_core.P2_FOUND, "p2_counts": oracle_core.P2_COUNTS, "p2_transitions": oracle_core.P2_TRANSITIONS}

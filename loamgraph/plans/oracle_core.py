@@ -34,3 +34,18 @@ FROM due d WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.k = d.k AND l.nxt = d.
 """
 
 P2_COUNTS = f"SELECT ref_table, ref_field, period, count(*) AS n_orphans FROM ({P2_FOUND}) GROUP BY ALL"
+
+P2_TRANSITIONS = f"""
+WITH refs AS (
+  SELECT 'edges' AS t, edge_id AS i, 'source' AS f, {path_key_sql('source')} AS k, seen_at AS ts FROM edges
+  UNION SELECT 'edges', edge_id, 'target', {path_key_sql('target')}, seen_at FROM edges
+  UNION SELECT 'record_links', link_id, 'node', {path_key_sql('node')}, linked_at FROM record_links),
+due AS (SELECT k, date_trunc('month', ts) + INTERVAL 1 MONTH AS nxt, count(*) AS n FROM refs WHERE k <> '' AND ts IS NOT NULL GROUP BY ALL),
+parents AS (SELECT DISTINCT node_key, {path_key_sql('id')} AS k, first_seen AS b, removed_at AS g FROM nodes),
+solid AS (SELECT * FROM parents WHERE k <> '' AND b IS NOT NULL AND (g IS NULL OR g > b)),
+ends AS (SELECT k, date_trunc('month', b) + INTERVAL 1 MONTH AS e FROM solid UNION SELECT k, date_trunc('month', g) + INTERVAL 1 MONTH FROM solid WHERE g IS NOT NULL),
+at_ends AS (SELECT x.k, x.e, count(*) FILTER (WHERE p.b < x.e AND (p.g IS NULL OR p.g >= x.e)) > 0 AS now,
+  count(*) FILTER (WHERE p.b < x.e - INTERVAL 1 MONTH AND (p.g IS NULL OR p.g >= x.e - INTERVAL 1 MONTH)) > 0 AS was FROM ends x JOIN solid p USING (k) GROUP BY ALL)
+SELECT a.k AS key, strftime(a.e - INTERVAL 1 MONTH, '%Y-%m') AS period, CASE WHEN a.now THEN 'resolved' ELSE 'reopened' END AS event, sum(d.n)::BIGINT AS n_refs
+FROM at_ends a JOIN due d ON d.k = a.k AND d.nxt < a.e WHERE a.now <> a.was GROUP BY ALL
+"""
