@@ -38,9 +38,9 @@ class Graph:
         return answers.final_order(cands, files, limit)
 
     def find(self, pattern: str, *, fixed: bool = False, ignore_case: bool = False, within: str = "", cap: int | None = 300) -> DataFrame:
-        """path, id, n_hits, first_line, in_degree of the spans whose lines match."""
+        """path, id, n_hits, first_line, in_degree of the spans whose lines match, and with a cap how many hits are ``dropped``; None for no cap."""
         r = self.relations
-        hits = spans.search_lines(r.lines, pattern, fixed=fixed, ignore_case=ignore_case, prefix=within)
+        hits = spans.search_files(r.files, pattern, fixed=fixed, ignore_case=ignore_case, prefix=within)
         return spans.grep_groups(hits, r.symbols, graph.in_degree(r.walk), cap=cap).orderBy(F.desc("in_degree"), "path", "first_line")
 
     def callers(self, symbol: str, *, depth: str | None = None, incoming: bool = True, within: str = "") -> DataFrame:
@@ -52,7 +52,7 @@ class Graph:
         return graph.reach(r.walk, seeds.select(F.lit(symbol).alias("origin"), "id"), incoming=incoming, depth=answers.parse_depth(depth)).drop("origin")
 
     def impact(self, ranges: DataFrame, *, depth: str | None = "2") -> DataFrame:
-        """id, path, depth, origins of what changed line ranges (path, start_line, end_line) reach; a file without a touched symbol stands for itself."""
+        """id, path, depth, n_origins of what changed line ranges (path, start_line, end_line) reach; a file without a touched symbol stands for itself."""
         r = self.relations
         touched = spans.overlapping(ranges, r.symbols).select("path", "id").distinct()
         bare = ranges.select("path").distinct().join(touched, "path", "left_anti").select("path", F.col("path").alias("id"))

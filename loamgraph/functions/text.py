@@ -127,21 +127,46 @@ def half_life(age_days: Column, days: float) -> Column:
     return F.pow(F.lit(0.5), age_days / days)
 
 
-# What a secret looks like, in the order the rules apply.
-SECRETS = [
-    (r"\x1B\[[0-9;?]*[A-Za-z]", ""),
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(-----END [A-Z ]*PRIVATE KEY-----|$)", "[redacted]"),
-    (r"([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[redacted]@"),
-    (r"(?i)((?:api[_-]?key|secret|token|passw(?:or)?d|pwd|credential)[\"']?\s*[:=]\s*[\"']?)[^\s\"',;]{8,}", "$1[redacted]"),
-    (r"(?i)\b(bearer|basic)\s+[A-Za-z0-9+/=._~-]{16,}", "$1 [redacted]"),
-    (r"\b(?:ghp|gho|ghu|ghs|ghr|github_pat|glpat|xox[abprs]|sk|pk|rk|AKIA|AIza|npm)[_-]?[A-Za-z0-9_-]{16,}", "[redacted]"),
-    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", "[redacted]"),
-    (r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])", "[redacted]"),
-]
+# Parts of key names, and key prefixes with the least length of what follows.
+KEY_WORDS = ["password", "passwd", "secret", "token", "api_key", "apikey", "auth", "accountkey"]
+KEY_PREFIXES = {"github_pat_": 8, "ghp_": 8, "gho_": 8, "glpat-": 8, "AKIA": 12, "AIza": 8, "sk-ant-": 8, "sk_live_": 8, "rk_live_": 8, "sk-": 8, "npm_": 36, "hf_": 30}
+
+
+def _secret_rules() -> list[tuple[str, str]]:
+    """What a secret looks like and what stands in its place, in the order the rules apply."""
+    key = r"[A-Za-z0-9_]*(?:" + "|".join(KEY_WORDS) + r")[A-Za-z0-9_]*[\"']?\s*"
+    auth = r"[A-Za-z0-9_]*auth[A-Za-z0-9_]*[\"']?\s*"
+    value = r"[^\s;,]"
+    heads = "|".join((r"sk-(?!ant-)" if p == "sk-" else re.escape(p)) + f"[A-Za-z0-9_-]{{{n},}}" for p, n in KEY_PREFIXES.items())
+    return [
+        (r"\x1B(?:\[[^\x40-\x7E]*[\x40-\x7E]?|\][^\x07\x1B]*[\x07\x1B]?)", ""),  # terminal codes
+        (r"\t", " "),
+        (r"[\x00-\x1F\x7F-\x9F]", ""),
+        (r"-----BEGIN [\s\S]*?(?:-----END (?:[\s\S]*?-----|[\s\S]*\z)|\z)", "[redacted]"),  # key blocks, also open ones
+        (r"(?i)([a-z][a-z0-9+.-]*://)[^/?#\s]*@", "$1"),  # credentials in addresses
+        (
+            rf"(?i)(?<![A-Za-z0-9_])(?:(bearer\s+){value}+|({key}(?:=(?![=>~])|:)\s*)(?:\"[^\"]*(?:\"|\z)|'[^']*(?:'|\z))|({key}=(?![=>~])\s*)(?![\"']){value}+|({auth}:\s*(?:basic|bearer)\s+){value}+)",
+            "$1$2$3$4[redacted]",
+        ),
+        (rf"(?<![A-Za-z0-9])(?:xox[A-Za-z]-[A-Za-z0-9_-]{{8,}}|{heads}|(?=[A-Za-z0-9_.-]{{10}})eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_.-]*)", "[redacted]"),
+        (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/=]*[0-9])(?=[A-Za-z0-9+/=]*[+/=])[A-Za-z0-9+/=]{40,}", "[redacted]"),  # long base64 runs
+    ]
+
+
+SECRETS = _secret_rules()
+
+
+def strip_controls(text: str | Column) -> Column:
+    """The text on one line: without terminal codes and control characters, tabs as spaces."""
+    out = col(text)
+    for pattern, to in SECRETS[:3]:
+        out = F.regexp_replace(out, pattern, to)
+    return out
 
 
 def redact(text: str | Column) -> Column:
-    """The text without secrets: terminal codes, private keys, credentials in addresses and assignments, bearer words, known key prefixes, signed tokens, long base64 runs."""
+    """The text on one line without secrets: terminal codes and control characters, private keys, credentials in addresses, literal values of key names,
+    bearer and basic words, known key prefixes, signed tokens, long base64 runs. After a colon only a quoted value counts, so types stay."""
     out = col(text)
     for pattern, to in SECRETS:
         out = F.regexp_replace(out, pattern, to)

@@ -91,8 +91,9 @@ def parse_depth(text: str | None) -> int | None:
         raise ValueError(f"depth must be a number or all: {text}") from None
 
 
-_INCOMING = re.compile(r"(?i)\b(?:who|what|which \w+)\s+(?:calls?|uses?|references?|invokes?|imports?|extends?|implements?)\b|\bcallers?\s+of\b|\busages?\s+of\b")
-_OUTGOING = re.compile(r"(?i)\bwhat\s+does\s+\S+\s+(?:call|use|reference|invoke|import)\b|\bcallees?\s+of\b|\bdependencies\s+of\b")
+# Phrases that ask for callers and for callees; letter case counts.
+_INCOMING = re.compile(r"(?a:\b)(?:caller|callers|calls?\s+into|who\s+calls|what\s+calls|called\s+by|used\s+by|uses)(?a:\b)")
+_OUTGOING = re.compile(r"(?a:\b)(?:callee|callees|what\s+does\s+(?a:\w)+\s+call|calls\s+what|imports?|depends\s+on)(?a:\b)")
 
 
 def structural_intent(query: str) -> tuple[str, list[str]] | None:

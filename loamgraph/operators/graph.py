@@ -46,12 +46,14 @@ def reach(edges: DataFrame, seeds: DataFrame, *, incoming: bool = True, depth: i
     """origin, id, depth, parent: breadth-first reach of many origins at once.
 
     ``seeds`` has origin and id. Nodes carry the depth they were first reached at and one parent, the first in edge order among
-    those of the frontier; seeds themselves are left out. Each step joins the frontier with the edges and drops what the
-    origin has already seen; it ends when nothing is new or at ``depth``. Frontiers are written to the shared
-    folder, so lineage stays short; only the number of new rows goes to the driver.
+    those of the frontier; seeds themselves are left out. The steps of the graph are written once, spread by both ends, so a node with a third of
+    all edges is no hot partition: a small frontier is sent to them, a large one meets them in a shuffle whose hot keys AQE splits. Each
+    round drops what the origin has already seen; it ends when nothing is new or at ``depth``. Frontiers are written to the
+    shared folder, so lineage stays short; only whether there are new rows goes to the driver.
     """
     near, far = ("target", "source") if incoming else ("source", "target")
     steps = edges.select(F.col(near).alias("id"), F.col(far).alias("next"), "ord").groupBy("id", "next").agg(F.min("ord").alias("ord"))
+    steps = materialize(steps, "steps")
     frontier = seeds.select("origin", "id").distinct().withColumn("pos", F.lit(0).cast("bigint"))
     seen, out, k = frontier.select("origin", "id"), None, 0
     while depth is None or k < depth:
@@ -71,9 +73,9 @@ def reach(edges: DataFrame, seeds: DataFrame, *, incoming: bool = True, depth: i
 
 
 def impact(reached: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, path, depth, origins: what a change reaches, with the least depth and all origins, sorted."""
-    merged = reached.groupBy("id").agg(F.min("depth").alias("depth"), F.array_sort(F.collect_set("origin")).alias("origins"))
-    return merged.join(nodes.select("id", "path"), "id").select("id", "path", "depth", "origins")
+    """id, path, depth, n_origins: what a change reaches, with the least depth and from how many origins; the rows of ``reached`` name them."""
+    merged = reached.groupBy("id").agg(F.min("depth").alias("depth"), F.count_distinct("origin").alias("n_origins"))
+    return merged.join(nodes.select("id", "path"), "id").select("id", "path", "depth", "n_origins")
 
 
 def directory_rollup(nodes: DataFrame, *, share: float = 0.6) -> DataFrame:
@@ -119,7 +121,7 @@ def file_view(edges: DataFrame, nodes: DataFrame, *, top: int = 8) -> DataFrame:
     return per.join(total, "path", "left").join(first, "path", "left").select("path", "n_nodes", F.coalesce("in_total", F.lit(0)).alias("in_total"), F.coalesce("top_edges", F.lit("")).alias("top_edges"))
 
 
-def module_groups(impacted: DataFrame) -> DataFrame:
-    """dir, n_nodes, n_files, n_origins, min_depth: what an impact touches, by folder."""
-    each = impacted.select(parent_dir("path").alias("dir"), "id", "path", "depth", F.explode_outer("origins").alias("origin"))
+def module_groups(reached: DataFrame, nodes: DataFrame) -> DataFrame:
+    """dir, n_nodes, n_files, n_origins, min_depth: what a change reaches, by folder."""
+    each = reached.join(nodes.select("id", "path"), "id").select(parent_dir("path").alias("dir"), "id", "path", "depth", "origin")
     return each.groupBy("dir").agg(F.count_distinct("id").alias("n_nodes"), F.count_distinct("path").alias("n_files"), F.count_distinct("origin").alias("n_origins"), F.min("depth").alias("min_depth"))

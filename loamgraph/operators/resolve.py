@@ -41,6 +41,22 @@ def narrow_by_arity(cands: DataFrame) -> DataFrame:
     return cands.withColumn("_ok", ok).withColumn("_n", n).where("_ok or _n = 0").select("call_id", "id")
 
 
+def narrowed_counts(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """call_id, n, first_id: how many symbols of a call's name fit its number of arguments, or bear the name where none fits, and the first.
+
+    ``calls`` has call_id, argc, name; ``symbols`` id, name, arity, variadic. Symbols are counted per (name, arity, variadic) and calls per (name, argc)
+    before they meet, so a name that very many bear on both sides costs a row per arity and not a row per pair.
+    """
+    kinds = symbols.groupBy("name", "arity", F.coalesce("variadic", F.lit(False)).alias("variadic")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    asked = calls.select("name", "argc").distinct()
+    ok = fits(F.col("argc"), F.col("arity"), F.col("variadic"))
+    per = asked.join(kinds, "name").groupBy("name", "argc").agg(
+        F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("fit"), F.min(F.when(ok, F.col("id"))).alias("fit_id"), F.sum("n").alias("all"), F.min("id").alias("all_id")
+    )
+    n, first = F.when(F.col("fit") > 0, F.col("fit")).otherwise(F.col("all")), F.coalesce("fit_id", "all_id")
+    return calls.join(per.select("name", "argc", n.alias("n"), first.alias("first_id")), ["name", "argc"]).select("call_id", "n", "first_id")
+
+
 def typed_members(calls: DataFrame, members: DataFrame, parents: DataFrame, depth: int = 3) -> DataFrame:
     """call_id, id, level: the member a typed receiver means, in its class or the nearest parent up to ``depth`` that has any.
 

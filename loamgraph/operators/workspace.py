@@ -9,7 +9,7 @@ from loamgraph.functions.text import base_name, parent_dir, path_suffixes
 from loamgraph.operators.resolve import resolve_by_prefix
 
 # Files that mark a package.
-MARKERS = ["package.json", "pyproject.toml", "setup.py", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "composer.json", "Package.swift"]
+MARKERS = ["package.json", "go.mod", "pyproject.toml", "setup.py", "Cargo.toml", "composer.json", "pom.xml", "build.gradle", "build.gradle.kts"]
 
 
 def discover_scopes(files: DataFrame, *, depth: int = 2) -> DataFrame:

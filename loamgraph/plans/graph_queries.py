@@ -12,7 +12,7 @@ from loamgraph.functions.keys import content_hash, content_hash_sql, path_key, p
 from loamgraph.functions.text import TEST_PATH_ASK, TEST_PATH_IMPACT, TEST_PATH_WHY, query_terms, tokens, under
 from loamgraph.operators import freshness, graph, records, resolve, rollups, spans, textsearch
 from loamgraph.plans import sql
-from loamgraph.plans.sql import EDGES, FILES, LINES, LINKS, NODE_ROWS, NODES, TERMS, WALK, statement
+from loamgraph.plans.sql import EDGES, FILES, LINES, LINKS, NODE_ROWS, NODES, RECORDS, TERMS, WALK, statement
 from loamgraph.session import materialize
 from loamgraph.sources.relations import Relations, term_bag
 
@@ -289,28 +289,33 @@ ww AS (SELECT DISTINCT source, target FROM we),
 h1 AS (SELECT DISTINCT s.origin, w.source AS id FROM sd s JOIN ww w ON w.target = s.id WHERE (s.origin, w.source) NOT IN (SELECT origin, id FROM sd)),
 h2 AS (SELECT DISTINCT s.origin, w.source AS id FROM h1 s JOIN ww w ON w.target = s.id WHERE (s.origin, w.source) NOT IN (SELECT origin, id FROM sd) AND (s.origin, w.source) NOT IN (SELECT origin, id FROM h1)),
 hit AS (SELECT origin, id, 1 AS depth FROM h1 UNION ALL SELECT origin, id, 2 FROM h2),
-imp AS (SELECT h.id, any_value(n.path) AS path, min(h.depth) AS depth, list_sort(list(DISTINCT h.origin)) AS origins FROM hit h JOIN gn n ON n.id = h.id GROUP BY h.id)"""
+imp AS (SELECT h.id, any_value(n.path) AS path, min(h.depth) AS depth, count(DISTINCT h.origin) AS n_origins FROM hit h JOIN gn n ON n.id = h.id GROUP BY h.id)"""
 
 
-def _impact(r: Relations) -> DataFrame:
-    seeds = r.symbols.where("summary_state = 'stale'").select(F.col("path").alias("origin"), "id")
-    return graph.impact(graph.reach(r.walk, seeds, depth=2), r.nodes)
+def _impacted(r: Relations) -> DataFrame:
+    return graph.reach(r.walk, r.symbols.where("summary_state = 'stale'").select(F.col("path").alias("origin"), "id"), depth=2)
 
 
-@query("g4_impact", statement(NODES, WALK, _IMPACT, select="SELECT id, path, depth, array_to_string(origins, ';') AS origins FROM imp"))
+@query("g4_impact", statement(NODES, WALK, _IMPACT, select="SELECT id, path, depth, n_origins FROM imp"))
 def g4_impact(r: Relations) -> DataFrame:
-    return _impact(r).select("id", "path", "depth", F.array_join("origins", ";").alias("origins"))
+    return graph.impact(_impacted(r), r.nodes)
+
+
+@query("g4_members", statement(NODES, WALK, _IMPACT, select="SELECT origin, id, depth FROM hit"))
+def g4_members(r: Relations) -> DataFrame:
+    """A row for each origin that reaches a node."""
+    return _impacted(r).select("origin", "id", "depth")
 
 
 @query(
     "a9_modules",
     statement(
-        NODES, WALK, _IMPACT, "ex AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, id, path, depth, unnest(origins) AS origin FROM imp)",
+        NODES, WALK, _IMPACT, "ex AS (SELECT regexp_replace(n.path, '/[^/]*$', '') AS dir, h.id, n.path, h.depth, h.origin FROM hit h JOIN gn n ON n.id = h.id)",
         select="SELECT dir, count(DISTINCT id) AS n_nodes, count(DISTINCT path) AS n_files, count(DISTINCT origin) AS n_origins, min(depth) AS min_depth FROM ex GROUP BY dir",
     ),
 )
 def a9_modules(r: Relations) -> DataFrame:
-    return graph.module_groups(_impact(r))
+    return graph.module_groups(_impacted(r), r.nodes)
 
 
 _TEST_IMPACT = "regexp_matches({p}, '(?i)(^|/)(tests?|specs?|__tests__)/|\\.(test|spec)\\.[cm]?[jt]sx?$|_test\\.(go|py|rb)$')"
@@ -489,12 +494,12 @@ def a15_covered_lines(r: Relations) -> DataFrame:
 
 @query("x15_find", statement(LINES, select=f"SELECT path, line, left(trim(text), 160) AS text FROM gl WHERE regexp_matches(text, '{_PATTERN_SQL}')"))
 def x15_find(r: Relations) -> DataFrame:
-    return spans.search_lines(r.lines, PATTERN)
+    return spans.search_files(r.files, PATTERN)
 
 
 @query("x15_find_fixed", statement(LINES, select="SELECT path, line, left(trim(text), 160) AS text FROM gl WHERE contains(text, 'total << 2')"))
 def x15_find_fixed(r: Relations) -> DataFrame:
-    return spans.search_lines(r.lines, "total << 2", fixed=True)
+    return spans.search_files(r.files, "total << 2", fixed=True)
 
 
 @query(
@@ -507,7 +512,7 @@ def x15_find_fixed(r: Relations) -> DataFrame:
     ),
 )
 def x15_find_grouped(r: Relations) -> DataFrame:
-    return spans.grep_groups(spans.search_lines(r.lines, PATTERN), r.symbols, graph.in_degree(r.walk))
+    return spans.grep_groups(spans.search_files(r.files, PATTERN), r.symbols, graph.in_degree(r.walk))
 
 
 @query("s11_comments")
@@ -656,18 +661,27 @@ def j3_resolve_names(r: Relations) -> DataFrame:
     return resolve.resolve_names(_raw_calls(r), r.symbols)
 
 
-def _call_candidates(r: Relations) -> DataFrame:
-    s = r.symbols.select("id", "name", "arity", "variadic")
+def _named_calls(r: Relations) -> DataFrame:
     argc = r.nodes.select(F.col("id").alias("target"), F.col("arity").alias("argc"), "name").where("argc is not null")
-    return r.edges.where("relation = 'calls'").join(argc, "target").select(F.col("edge_id").alias("call_id"), "argc", "name").join(s, "name")
+    return r.edges.where("relation = 'calls'").join(argc, "target").select(F.col("edge_id").alias("call_id"), "argc", "name")
 
 
 _CC = "cc AS (SELECT e.edge_id AS call_id, t.arity AS argc, s.id, (s.arity IS NULL OR CASE WHEN coalesce(s.\"variadic\", false) THEN t.arity >= s.arity - 1 ELSE t.arity = s.arity END) AS ok FROM ge e JOIN gn t ON t.id = e.target AND t.arity IS NOT NULL JOIN gn s ON s.name = t.name AND s.kind <> 'file' WHERE e.relation = 'calls')"
 
 
-@query("j5_arity", statement(NODES, EDGES, _CC, select="SELECT call_id, id FROM cc QUALIFY ok OR sum(ok::INT) OVER (PARTITION BY call_id) = 0"))
+_KEPT = "kp AS (SELECT call_id, id FROM cc QUALIFY ok OR sum(ok::INT) OVER (PARTITION BY call_id) = 0)"
+
+
+@query("j5_arity", statement(NODES, EDGES, _CC, _KEPT, select="SELECT call_id, count(*) AS n, min(id) AS first_id FROM kp GROUP BY call_id"))
 def j5_arity(r: Relations) -> DataFrame:
-    return resolve.narrow_by_arity(_call_candidates(r))
+    """How many symbols each call may mean by name and number of arguments, and the first of them."""
+    return resolve.narrowed_counts(_named_calls(r), r.symbols)
+
+
+@query("j5_single", statement(NODES, EDGES, _CC, _KEPT, select="SELECT call_id, min(id) AS id FROM kp GROUP BY call_id HAVING count(*) = 1"))
+def j5_single(r: Relations) -> DataFrame:
+    """The calls that are left with one symbol."""
+    return resolve.narrowed_counts(_named_calls(r), r.symbols).where("n = 1").select("call_id", F.col("first_id").alias("id"))
 
 
 @query(
@@ -714,29 +728,46 @@ def j37_suffix(r: Relations) -> DataFrame:
 # --- records ---------------------------------------------------------------------------------------------------------
 
 
-@query("s15_entries")
+@query("s15_entries", statement(RECORDS, select="SELECT doc_id, line, heading, date FROM en"))
 def s15_entries(r: Relations) -> DataFrame:
-    """Fences make this a scan with state; the tests check it against one."""
     return records.record_entries(r.documents)
 
 
-@query("j20_static_links")
+_MENTIONS = """mn AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(text, '[A-Za-z0-9_.\\-]+(?:/[A-Za-z0-9_.\\-]+)+'), regexp_extract_all(text, '`([^`\\s]+)`', 1))) AS token FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(
+    "j20_static_links",
+    statement(
+        NODES, _MENTIONS, "un AS (SELECT name AS token, min(id) AS id FROM gn WHERE kind <> 'file' GROUP BY name HAVING count(*) = 1)",
+        "ht AS (SELECT m.doc_id, g.id, CASE WHEN g.kind = 'file' THEN 2 ELSE 0 END AS level FROM mn m JOIN gn g ON g.id = m.token UNION ALL SELECT m.doc_id, u.id, 0 FROM mn m JOIN un u USING (token))",
+        select="SELECT doc_id, id, min(level) AS level FROM ht GROUP BY doc_id, id",
+    ),
+)
 def j20_static_links(r: Relations) -> DataFrame:
     return records.static_links(r.documents, r.nodes)
 
 
-@query("j19_file_mentions")
+@query(
+    "j19_file_mentions",
+    statement(
+        FILES, _MENTIONS, "fp AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM gf)",
+        "fr AS (SELECT path, path AS token, 1.0 AS w FROM fp UNION ALL SELECT path, s[-1], 0.6 FROM fp UNION ALL SELECT path, CASE WHEN strpos(substr(s[-1], 2), '.') > 0 THEN regexp_replace(s[-1], '\\.[^.]*$', '') ELSE s[-1] END, 0.3 FROM fp UNION ALL SELECT path, array_to_string(list_slice(s, 1, k), '/'), 0.1 FROM (SELECT path, s, unnest(range(1, len(s))) AS k FROM fp))",
+        "fo AS (SELECT path, token, max(w) AS w FROM fr GROUP BY ALL)", "nf AS (SELECT token, count(*) AS n FROM fo GROUP BY token)",
+        select="SELECT m.doc_id, f.path, round(sum(f.w / sqrt(n.n)), 6) AS weight FROM mn m JOIN fo f USING (token) JOIN nf n USING (token) GROUP BY ALL",
+    ),
+)
 def j19_file_mentions(r: Relations) -> DataFrame:
     return records.file_mentions(r.documents, r.files).select("doc_id", "path", r6("weight").alias("weight"))
 
 
-@query("g11_why", statement(LINKS, select="SELECT node, entry, min(level) AS level FROM lk WHERE node <> '' AND entry IS NOT NULL GROUP BY ALL"))
+@query("g11_why", statement(LINKS, RECORDS, select="SELECT node, entry, min(level) AS level, entry IN (SELECT doc_id FROM gone) AS superseded FROM lk WHERE node <> '' AND entry IS NOT NULL GROUP BY node, entry"))
 def g11_why(r: Relations) -> DataFrame:
     entries = records.record_entries(r.documents)
-    return records.why(r.links, entries, records.superseded(entries, r.documents)).select("node", "entry", "level")
+    return records.why(r.links, entries, records.superseded(entries, r.documents))
 
 
-@query("j21_superseded")
+@query("j21_superseded", statement(RECORDS, select="SELECT doc_id, by_ AS \"by\" FROM gone"))
 def j21_superseded(r: Relations) -> DataFrame:
     return records.superseded(records.record_entries(r.documents), r.documents)
 
@@ -769,9 +800,15 @@ _OWN = f"""pe AS (SELECT event_type AS area, user_id AS person, sum(pow(0.5, (ep
 sh AS (SELECT *, score / sum(score) OVER (PARTITION BY area) AS share FROM pe)"""
 
 
-@query("a12_ownership", statement(_OWN, select="SELECT area, person, round(score, 6) AS score, round(share, 6) AS share, n_commits, row_number() OVER (PARTITION BY area ORDER BY round(score, 9) DESC, person) AS rank FROM sh QUALIFY rank <= 2"))
+_BUILDS = f"""pe AS (SELECT prefix AS area, extractor AS person, sum(pow(0.5, (epoch_us(TIMESTAMP '{_NOW}') - epoch_us(started_at)) / 86400000000.0 / 120)) AS score, count(*) AS n_commits FROM (SELECT DISTINCT prefix, extractor, run_id, started_at FROM build_runs WHERE started_at IS NOT NULL) GROUP BY ALL),
+sh AS (SELECT *, score / sum(score) OVER (PARTITION BY area) AS share FROM pe)"""
+
+
+@query("a12_ownership", statement(_BUILDS, select="SELECT area, person, round(score, 6) AS score, round(share, 6) AS share, n_commits, row_number() OVER (PARTITION BY area ORDER BY round(score, 9) DESC, person) AS rank FROM sh WHERE share >= 0.15 QUALIFY rank <= 2"))
 def a12_ownership(r: Relations) -> DataFrame:
-    rows = rollups.ownership(_commits(r), now=_NOW, least=0.0)
+    """Builds of a prefix stand for commits to an area, extractors for people."""
+    builds = r.raw("build_runs").where("started_at is not null").select(F.col("prefix").alias("area"), F.col("extractor").alias("person"), F.col("run_id").alias("sha"), F.col("started_at").alias("ts"))
+    rows = rollups.ownership(builds, now=_NOW)
     return rows.select("area", "person", r6("score").alias("score"), r6("share").alias("share"), "n_commits", "rank")
 
 
@@ -842,9 +879,9 @@ def g15_precision(r: Relations) -> DataFrame:
 @query("redacted_documents")
 def redacted_documents(r: Relations) -> DataFrame:
     """Documents whose text holds a secret, with the secret taken out."""
-    from loamgraph.functions.text import redact
+    from loamgraph.functions.text import redact, strip_controls
 
-    rows = r.documents.where("text is not null").select("doc_id", "text", redact("text").alias("redacted"))
-    return rows.where("text <> redacted").select("doc_id", "redacted")
+    rows = r.documents.where("text is not null").select("doc_id", strip_controls("text").alias("plain"), redact("text").alias("redacted"))
+    return rows.where("plain <> redacted").select("doc_id", "redacted")
 
 

@@ -11,9 +11,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder every executor can reach, from ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in one process (tests).
+
+    On a cluster a temporary folder would be another one on each machine, so there the setting is required.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         path = tempfile.mkdtemp(prefix="loamgraph-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -21,21 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_scratch: list[str] = []
+_scratch: dict[str, list[str]] = {}  # by application
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
 def clean_scratch(spark: SparkSession) -> int:
-    """Delete what operators of this process wrote below the shared folder; call it once their results are stored."""
-    gone = 0
-    while _scratch:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    """Delete what operators of this application wrote below the shared folder; call it once their results are stored."""
+    gone, paths = 0, _scratch.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return gone
 

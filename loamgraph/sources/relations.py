@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions.keys import content_hash, path_key
 from loamgraph.functions.text import tokens
+from loamgraph.operators.spans import lines_of
 from loamgraph.sources.tables import table
 
 WALK = ["calls", "references", "imports", "implements", "extends"]
@@ -60,7 +61,7 @@ class Relations:
     @cached_property
     def lines(self) -> DataFrame:
         """path, line (from 1), text of every source file."""
-        return self.files.where("content is not null").select("path", F.posexplode(F.split("content", r"\r\n|\r|\n"))).select("path", (F.col("pos") + 1).alias("line"), F.col("col").alias("text"))
+        return lines_of(self.files.where("content is not null"))
 
     @cached_property
     def documents(self) -> DataFrame:

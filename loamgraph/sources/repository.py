@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loamgraph.session import ship
 
 # Folders a walk leaves out, and the largest file it takes.
-SKIP_DIRS = ["node_modules", "target", "dist", "build", "out", "vendor", "venv", "__pycache__", "coverage"]
+SKIP_DIRS = ["node_modules", "dist", "build", "_build", "out", "target", "vendor", "coverage", "__pycache__", "venv"]
 MAX_BYTES = 1_000_000
 # Languages by file ending; the longest ending that fits decides.
 ENDINGS = {

@@ -20,13 +20,23 @@ def newest(versions: DataFrame) -> DataFrame:
     return versions.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+COMPACT = 32  # versions between two that hold everything
+
+
 def merge_batch(target: VersionedTarget, batch: DataFrame, number: int) -> None:
-    known = target.versions()
-    if known and target.manifest(known[-1])["note"]["batch"] >= number:
+    """Publish what a batch brings: the newest version of each of its paths, if the state has no newer one. The state itself is not
+    rewritten but for a base now and then, so a batch costs its own rows and a look at the paths it names."""
+    log = target.log()
+    if log and log[-1]["note"]["batch"] >= number:
         return
-    state = target.read("state")
-    rows = batch if state is None else state.unionByName(batch)
-    target.publish({"state": newest(rows)}, {"batch": number})
+    rows, held = newest(batch), target.read_all("state")
+    if held is not None:
+        known = newest(held.join(rows.select("path").distinct(), "path", "left_semi"))
+        rank = F.struct(F.col("mtime_ms").isNotNull().alias("a"), F.col("mtime_ms").alias("b"), F.col("file_id").alias("c"))
+        rows = rows.withColumn("_r", rank).join(known.select("path", rank.alias("_k")), "path", "left").where("_k is null or _r > _k").drop("_r", "_k")
+    target.publish({"state": rows}, {"batch": number})
+    if len(log) + 1 >= COMPACT:
+        target.publish({"state": newest(target.read_all("state"))}, {"batch": number, "base": True})
 
 
 def file_versions(rows: DataFrame) -> DataFrame:
@@ -47,4 +57,4 @@ def refresh_once(spark: SparkSession, folder: str, *, files_per_batch: int = 100
         .start()
     )
     query.awaitTermination()
-    return target.read("state")
+    return newest(target.read_all("state"))
