@@ -1,24 +1,23 @@
 """Schemas that drift between files: versioned fingerprints, chained migration rules, every change recorded.
 
-A payload's fingerprint is the sorted list of its top-level fields with their types. Streams are read in order; a record is
-compared with the one before it. The order is made by range partitions over (stream, time, id), so a stream with a third of all
-records spreads over as many tasks as it needs; what one partition must know of the one before, its last schema,
-is a row per partition.
+A payload's fingerprint is the hash of its top-level fields with their types; the registry keeps each fingerprint once, with its
+fields and the explicit steps that lead from it to the one table. Streams are read in order, and a record is compared with the one before it only
+where their fingerprints differ, which the JVM finds. The order is made by range partitions over (stream, time, id), so a stream
+with a third of all records spreads over as many tasks as it needs; what one partition must know of the one before, its last
+schema, is a row per partition.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.session import shared_dir, ship, shuffle_partitions
+from loamgraph.session import materialize, ship, shuffle_partitions
 
-# Migration rules, a canonical field and the names it was given over time.
+# Migration rules, a canonical field and the names it was given over time, each renamed to the one before it.
 RENAMES = {
     "version": ["ver", "schema_version", "cacheVersion", "cache_version"],
     "extractor": ["extractorStamp", "extractor_stamp", "extractor_id", "extractorId", "stamp"],
@@ -126,52 +125,99 @@ def _scan(batches, carry: tuple[str, dict] | None):
                 yield s, rid, [], schema
 
 
+def schema_registry(prints: DataFrame) -> DataFrame:
+    """fingerprint, fields of :func:`fingerprints`, each once."""
+    return prints.groupBy("fingerprint").agg(F.first("fields").alias("fields"))
+
+
+def _literal_map(table: dict):
+    pairs = [x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v))]
+    return F.create_map(*pairs)
+
+
+def migration_steps(registry: DataFrame) -> DataFrame:
+    """The registry with ``steps``, the migration of each fingerprint to the table: renames, name by name along their chain, then defaults of what is
+    missing, then casts; and ``origin``, for each canonical field the name it bears in payloads of that fingerprint (none if it is missing)."""
+    chains = {a: [f"rename {x} to {y}" for x, y in zip(names[k:0:-1], names[k - 1 :: -1], strict=True)] for c, aliases in RENAMES.items() for names in [[c, *aliases]] for k, a in enumerate(names) if k}
+    names = F.transform("fields", lambda f: f["name"])
+    kinds = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["name"], f["kind"])))
+    wanted = {"bigint": "integer", "double": "decimal", "string": "string", "boolean": "boolean", "array<string>": "array"}
+    origin = F.map_filter(F.create_map(*[x for c in TABLE_TYPES for x in (F.lit(c), F.get(F.filter(F.array(*map(F.lit, [c, *RENAMES[c]])), lambda a: F.array_contains(names, a)), F.lit(0)))]), lambda _, v: v.isNotNull())
+    rows = registry.withColumn("origin", F.when(F.size("fields") >= 0, origin)).withColumn("_kinds", kinds)
+    renames = F.flatten(F.transform(F.map_values("origin"), lambda a: F.coalesce(F.try_element_at(_literal_map(chains), a), F.array().cast("array<string>"))))
+    missing = F.transform(F.filter(F.array(*map(F.lit, TABLE_TYPES)), lambda c: ~F.map_contains_key("origin", c)), lambda c: F.concat(F.lit("default "), c, F.lit(" to null")))
+    casts = F.filter(
+        F.transform(F.map_entries("origin"), lambda e: F.struct(e["key"].alias("c"), F.try_element_at("_kinds", e["value"]).alias("kind"), F.try_element_at(_literal_map({c: wanted[t] for c, t in TABLE_TYPES.items()}), e["key"]).alias("want"))),
+        lambda x: x["kind"].isNotNull() & (x["kind"] != x["want"]),
+    )
+    casts = F.transform(casts, lambda x: F.concat(F.lit("cast "), x["c"], F.lit(" from "), x["kind"], F.lit(" to "), x["want"]))
+    return rows.select("fingerprint", "fields", F.concat(renames, missing, casts).alias("steps"), "origin")
+
+
+def schema_versions(records: DataFrame) -> DataFrame:
+    """stream, fingerprint, first_written_at, first_record_id, n_records, steps: the schemas of each stream, when each came up and how it is migrated."""
+    prints = materialize(fingerprints(records), "fingerprints")
+    at = F.struct(F.col("written_at").isNotNull().alias("dated"), "written_at", "record_id")
+    per = prints.groupBy("stream", "fingerprint").agg(F.min(at).alias("first"), F.count("*").alias("n_records"))
+    rows = per.join(migration_steps(schema_registry(prints)).select("fingerprint", "steps"), "fingerprint")
+    return rows.select("stream", "fingerprint", F.col("first.written_at").alias("first_written_at"), F.col("first.record_id").alias("first_record_id"), "n_records", "steps")
+
+
+def _ordered(group):
+    """The rows of one range partition in order: stream, then time with null first, then id."""
+    group = group.assign(_dated=group["written_at"].notna())
+    return group.sort_values(["stream", "_dated", "written_at", "record_id"], kind="stable")
+
+
 def schema_changes(records: DataFrame) -> DataFrame:
     """stream, record_id, field_name, change_kind: every change between a record and the one before it in its stream.
 
     Order is written_at (null first), record_id. The first record of a stream shows no change. An empty table gives no rows.
+    Records whose fingerprint is that of the record before are dropped before Python sees them.
     """
     import pandas as pd
 
     spark = records.sparkSession
-    shared_dir(spark)
     ship(spark)
     keys = ["stream", "written_at", "record_id"]
-    rows = fingerprints(records).drop("fingerprint").repartitionByRange(2 * shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).checkpoint()
-
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    prints = materialize(fingerprints(records), "fingerprints")  # the range bounds are drawn from it, then it is read
+    placed = prints.select(*keys, "fingerprint").repartitionByRange(shuffle_partitions(spark), *keys).withColumn("pid", F.spark_partition_id())
+    before = Window.partitionBy("pid").orderBy(*keys)
+    turns = placed.withColumn("_s", F.lag("stream").over(before)).withColumn("_f", F.lag("fingerprint").over(before))
+    turns = turns.where("_s is null or _s <> stream or _f <> fingerprint").drop("_s", "_f")
+    turns = materialize(turns.join(schema_registry(prints), "fingerprint").drop("fingerprint"), "turns")
+
+    def heads(group: pd.DataFrame) -> pd.DataFrame:
         # what a partition does to a carry that arrives from the left: the records of its first stream, folded to one step
-        first, last, known, inherit, single = None, None, None, {}, True
-        for b in batches:
-            for s, fields in zip(b["stream"], b["fields"], strict=True):
-                now = {f["name"]: f["kind"] for f in fields}
-                if first is None:
-                    first, inherit = s, {f: f for f in now if now[f] is None}
-                    known, last = now, s
-                    lead = {"fields": now}
-                    continue
-                if s != last:
-                    single, last, known, inherit = False, s, now, {}
-                    continue
-                before, (_, known) = known, compare(known, now)
-                if single:  # fields whose type is still the one the carry must tell, under the names they have now
-                    moved = {}
-                    for f in known:
-                        if known[f] is None:
-                            if f in inherit and f in before:
-                                moved[f] = inherit[f]
-                            elif f not in before:
-                                src = next((g for g in before if g not in now and g in inherit and meaning(g) == meaning(f)), None)
-                                if src:
-                                    moved[f] = inherit[src]
-                    inherit = moved
-        if first is not None:
-            out = {"first": first, "last": last, "single": single, "lead": lead["fields"], "schema": known, "inherit": inherit}
-            yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "summary": [json.dumps(out)]})
+        first, last, known, inherit, single, lead = None, None, None, {}, True, {}
+        group = _ordered(group)
+        for s, fields in zip(group["stream"], group["fields"], strict=True):
+            now = {f["name"]: f["kind"] for f in fields}
+            if first is None:
+                first, inherit = s, {f: f for f in now if now[f] is None}
+                known, last, lead = now, s, now
+                continue
+            if s != last:
+                single, last, known, inherit = False, s, now, {}
+                continue
+            before, (_, known) = known, compare(known, now)
+            if single:  # fields whose type is still the one the carry must tell, under the names they have now
+                moved = {}
+                for f in known:
+                    if known[f] is None:
+                        if f in inherit and f in before:
+                            moved[f] = inherit[f]
+                        elif f not in before:
+                            src = next((g for g in before if g not in now and g in inherit and meaning(g) == meaning(f)), None)
+                            if src:
+                                moved[f] = inherit[src]
+                inherit = moved
+        out = {"first": first, "last": last, "single": single, "lead": lead, "schema": known, "inherit": inherit}
+        return pd.DataFrame({"pid": [int(group["pid"].iloc[0])], "summary": [json.dumps(out)]})
 
     # one row per partition: as many as there are partitions, however large the table
     carries, carry = {}, None
-    for pid, text in sorted((r.pid, r.summary) for r in rows.mapInPandas(heads, "pid int, summary string").collect()):
+    for pid, text in sorted((r.pid, r.summary) for r in turns.groupBy("pid").applyInPandas(heads, "pid int, summary string").collect()):
         part = json.loads(text)
         if carry and carry[0] == part["first"]:
             carries[pid] = carry
@@ -182,42 +228,36 @@ def schema_changes(records: DataFrame) -> DataFrame:
                 continue
         carry = (part["last"], part["schema"])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for s, rid, changes, _ in _scan(batches, carries.get(TaskContext.get().partitionId())):
-            out += [(s, rid, field, kind) for field, kind in changes]
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["stream", "record_id", "field_name", "change_kind"])
-                out = []
-        yield pd.DataFrame(out, columns=["stream", "record_id", "field_name", "change_kind"])
+    def scan(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [(s, rid, field, kind) for s, rid, changes, _ in _scan([_ordered(group)], carries.get(int(group["pid"].iloc[0]))) for field, kind in changes]
+        return pd.DataFrame(rows, columns=["stream", "record_id", "field_name", "change_kind"])
 
-    return rows.mapInPandas(scan, "stream string, record_id long, field_name string, change_kind string")
+    return turns.groupBy("pid").applyInPandas(scan, "stream string, record_id long, field_name string, change_kind string")
 
 
 def consistent_table(records: DataFrame) -> DataFrame:
     """One row per readable record with the canonical fields in their table types, and ``extras`` (JSON of all other fields).
 
-    Rename: the first present of a field's names, the canonical one first. Default: null. Cast: a value that cannot take
+    Each record is routed by the steps of its fingerprint (:func:`migration_steps`). Rename: the first present of a field's names, the canonical one first. Default: null. Cast: a value that cannot take
     the table type, such as an object in a number's place, is null in its column and kept in ``extras`` under its own name; a single string for a list becomes a list of one.
     """
+    prints = materialize(fingerprints(records).select("fingerprint", "fields", "record_id"), "fingerprints")
+    routes = migration_steps(schema_registry(prints)).select("fingerprint", "origin")
+    route = prints.select("record_id", "fingerprint").join(routes, "fingerprint").drop("fingerprint")
     rows = records.where("stream is not null and record_id is not null").dropDuplicates(["record_id"])
-    rows = rows.withColumn("_v", payload_variant()).withColumn("_m", F.try_variant_get("_v", "$", "map<string,variant>")).where("_m is not null")
-    cols, used = [], []
+    rows = rows.withColumn("_m", F.try_variant_get(payload_variant(), "$", "map<string,variant>")).where("_m is not null").join(route, "record_id")
+    cols = []
     for name, sql_type in TABLE_TYPES.items():
-        tries = []
-        for alias in [name, *RENAMES[name]]:
-            value = F.try_variant_get("_v", f"$.{alias}", sql_type)
-            if sql_type.startswith("array"):
-                alone = F.try_variant_get("_v", f"$.{alias}", "string")
-                value = F.coalesce(value, F.when(F.schema_of_variant(F.try_variant_get("_v", f"$.{alias}", "variant")) == "STRING", F.array(alone)))
-            elif sql_type in ("bigint", "double"):
-                value = F.coalesce(value, F.try_variant_get("_v", f"$.{alias}", "string").try_cast(sql_type))
-            tries.append(value)
-            used.append(alias)
-        cols.append(F.coalesce(*tries).alias(re.sub(r"(?<=[a-z])([A-Z])", lambda m: "_" + m[1].lower(), name)))
+        raw = F.try_element_at("_m", F.try_element_at("origin", F.lit(name)))
+        value = F.try_variant_get(raw, "$", sql_type)
+        if sql_type.startswith("array"):
+            value = F.coalesce(value, F.when(F.schema_of_variant(raw) == "STRING", F.array(F.try_variant_get(raw, "$", "string"))))
+        elif sql_type in ("bigint", "double"):
+            value = F.coalesce(value, F.try_variant_get(raw, "$", "string").try_cast(sql_type))
+        cols.append(value.alias(re.sub(r"(?<=[a-z])([A-Z])", lambda m: "_" + m[1].lower(), name)))
 
     def left_over(k: Column, v: Column) -> Column:
-        kind, lost = F.schema_of_variant(v), ~k.isin(used)
+        kind, lost = F.schema_of_variant(v), ~F.array_contains(F.map_values("origin"), k)
         for sql_type in dict.fromkeys(TABLE_TYPES.values()):
             names = [a for c, t in TABLE_TYPES.items() if t == sql_type for a in [c, *RENAMES[c]]]
             if sql_type.startswith("array"):

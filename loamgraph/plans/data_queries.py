@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamgraph.operators import drift, incremental, references
 from loamgraph.plans import oracle_core
@@ -37,5 +38,10 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent_table(table(spark, sf_dir, "build_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_transitions": p2_transitions, "p4_found": p4_found, "p4_table": p4_table}
-ORACLE = {"p1_found": oracle_core.P1_FOUND, "p2_found": oracle_core.P2_FOUND, "p2_counts": oracle_core.P2_COUNTS, "p2_transitions": oracle_core.P2_TRANSITIONS}
+def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drift.schema_versions(table(spark, sf_dir, "build_records"))
+    return rows.select("stream", "first_record_id", "first_written_at", "n_records", F.size("steps").alias("n_steps"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_transitions": p2_transitions, "p4_found": p4_found, "p4_table": p4_table, "p4_versions": p4_versions}
+ORACLE = {"p1_found": oracle_core.P1_FOUND, "p2_found": oracle_core.P2_FOUND, "p2_counts": oracle_core.P2_COUNTS, "p2_transitions": oracle_core.P2_TRANSITIONS, "p4_found": oracle_core.P4_FOUND, "p4_versions": oracle_core.P4_VERSIONS}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loamgraph.functions.keys import content_hash_sql, path_key_sql
+from loamgraph.operators.drift import RENAMES, TABLE_TYPES
 
 P1_FOUND = f"""
 WITH runs AS (SELECT DISTINCT run_id, prefix, started_at, status FROM build_runs),
@@ -49,3 +50,37 @@ at_ends AS (SELECT x.k, x.e, count(*) FILTER (WHERE p.b < x.e AND (p.g IS NULL O
 SELECT a.k AS key, strftime(a.e - INTERVAL 1 MONTH, '%Y-%m') AS period, CASE WHEN a.now THEN 'resolved' ELSE 'reopened' END AS event, sum(d.n)::BIGINT AS n_refs
 FROM at_ends a JOIN due d ON d.k = a.k AND d.nxt < a.e WHERE a.now <> a.was GROUP BY ALL
 """
+
+# A field outside the migration rules means itself. Types of null values come from the field's last value while it, or the field it was
+# renamed from, is there without a gap.
+_MEANINGS = ", ".join(f"('{a}', '{c}')" for c, names in RENAMES.items() for a in [c, *names])
+_FIELDS = f"""al(name, canon) AS (VALUES {_MEANINGS}),
+ok AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY written_at NULLS FIRST, record_id) AS n
+  FROM (SELECT DISTINCT stream, written_at, record_id, payload FROM build_records WHERE stream IS NOT NULL AND record_id IS NOT NULL) WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+ky AS (SELECT stream, n, record_id, written_at, payload, unnest(json_keys(payload)) AS name FROM ok),
+kd AS (SELECT stream, n, record_id, name, coalesce(canon, name) AS meaning, CASE json_type(payload, '$."' || name || '"') WHEN 'NULL' THEN NULL WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array'
+  WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'decimal' ELSE 'integer' END AS kind FROM ky LEFT JOIN al USING (name))"""
+
+P4_FOUND = f"""
+WITH {_FIELDS},
+ru AS (SELECT *, n - dense_rank() OVER (PARTITION BY stream, meaning ORDER BY n) AS run FROM kd),
+fl AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY stream, meaning, run ORDER BY n) AS known FROM ru),
+gone AS (SELECT b.stream, b.n + 1 AS n, b.name, b.meaning, b.known FROM fl b JOIN ok o ON o.stream = b.stream AND o.n = b.n + 1 LEFT JOIN kd a ON a.stream = b.stream AND a.n = b.n + 1 AND a.name = b.name WHERE a.name IS NULL),
+new AS (SELECT a.stream, a.n, a.record_id, a.name, a.meaning, a.kind FROM kd a LEFT JOIN kd b ON b.stream = a.stream AND b.n = a.n - 1 AND b.name = a.name WHERE b.name IS NULL AND a.n > 1),
+moved AS (SELECT w.stream, w.n, w.record_id, w.name, g.name AS was FROM new w JOIN gone g ON g.stream = w.stream AND g.n = w.n AND g.meaning = w.meaning AND (g.known IS NULL OR w.kind IS NULL OR g.known = w.kind))
+SELECT stream, record_id, name AS field_name, 'renamed' AS change_kind FROM moved
+UNION SELECT w.stream, w.record_id, w.name, 'added' FROM new w LEFT JOIN moved m ON m.stream = w.stream AND m.n = w.n AND m.name = w.name WHERE m.name IS NULL
+UNION SELECT g.stream, o.record_id, g.name, 'removed' FROM gone g JOIN ok o ON o.stream = g.stream AND o.n = g.n LEFT JOIN moved m ON m.stream = g.stream AND m.n = g.n AND m.was = g.name WHERE m.was IS NULL
+UNION SELECT a.stream, a.record_id, a.name, 'retyped' FROM kd a JOIN fl b ON b.stream = a.stream AND b.n = a.n - 1 AND b.name = a.name WHERE a.kind <> b.known
+"""
+
+_WANTED = ", ".join(f"('{c}', '{ {'bigint': 'integer', 'double': 'decimal', 'string': 'string', 'boolean': 'boolean', 'array<string>': 'array'}[t] }', {k})" for k, (c, t) in enumerate(TABLE_TYPES.items()))
+_PLACES = ", ".join(f"('{a}', {k})" for names in RENAMES.items() for k, a in enumerate([names[0], *names[1]]))
+P4_VERSIONS = f"""
+WITH {_FIELDS}, wanted(canon, want, k) AS (VALUES {_WANTED}), places(name, place) AS (VALUES {_PLACES}),
+sc AS (SELECT o.stream, o.n, o.record_id, o.written_at, (SELECT list_sort(list((name, kind))) FROM kd WHERE kd.stream = o.stream AND kd.n = o.n) AS schema FROM ok o),
+fs AS (SELECT stream, schema, min(n) AS n, count(*) AS n_records FROM sc GROUP BY ALL),
+og AS (SELECT f.stream, f.n, k.meaning, min(p.place) AS place, arg_min(k.kind, p.place) AS kind FROM fs f JOIN kd k ON k.stream = f.stream AND k.n = f.n JOIN places p USING (name) GROUP BY ALL),
+st AS (SELECT f.stream, f.n, sum(CASE WHEN o.place IS NULL THEN 1 WHEN o.kind IS NULL THEN o.place ELSE o.place + (o.kind <> w.want)::INT END)::INT AS n_steps FROM fs f CROSS JOIN wanted w LEFT JOIN og o ON o.stream = f.stream AND o.n = f.n AND o.meaning = w.canon GROUP BY ALL)
+SELECT f.stream, o.record_id AS first_record_id, o.written_at AS first_written_at, f.n_records, s.n_steps FROM fs f JOIN ok o ON o.stream = f.stream AND o.n = f.n JOIN st s ON s.stream = f.stream AND s.n = f.n
+"""

@@ -73,3 +73,17 @@ def test_consistent_table(spark, rows):
     p = ['{"version":1,"languages":["a"],"wiringMtimeMs":5}', '{"ver":"2","langs":"b","mtime":6.5,"host":{"x":1}}', '{"version":{"major":3}}']
     got = rows(D.consistent_table(records(spark, p)), "record_id", "version", "languages", "wiring_mtime_ms", "extras")
     assert got == [(1, 1, ["a"], 5.0, "{}"), (2, 2, ["b"], 6.5, '{"host":{"x":1}}'), (3, None, None, None, '{"version":{"major":3}}')]
+
+
+def test_second_name_of_a_field_stays_in_the_extras(spark, rows):
+    got = rows(D.consistent_table(records(spark, ['{"ver":1,"version":2}', '{"edges":3,"edge_count":4}'])), "version", "edge_count", "extras")
+    assert got == [(2, None, '{"ver":1}'), (None, 4, '{"edges":3}')]
+
+
+def test_versions_and_their_steps(spark):
+    p = ['{"version":1}', '{"schema_version":"1"}', '{"schema_version":"2"}', '{"version":1}', None]
+    got = {r.first_record_id: r for r in D.schema_versions(records(spark, p)).collect()}
+    assert {k: r.n_records for k, r in got.items()} == {1: 2, 2: 2}
+    assert [x for x in got[2].steps if not x.startswith("default")] == ["rename schema_version to ver", "rename ver to version", "cast version from string to integer"]
+    assert "default files to null" in got[1].steps and not [x for x in got[1].steps if x.startswith(("rename", "cast"))]
+    assert D.schema_versions(records(spark, p).limit(0)).count() == 0
