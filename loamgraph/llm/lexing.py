@@ -50,6 +50,8 @@ _PATTERNS = {
 }
 _PATTERNS["ts"] = _PATTERNS["js"]
 _MATCH: dict[str, re.Pattern] = {}
+_SPACES = {"py": r"(?:[ \t\f\ufeff\r\n]|\\\r?\n)*+", "": r"[ \t\f\v\r\n\u00a0\ufeff\u2000-\u200b\u2028\u2029\u3000]*+"}
+_FIND: dict[str, tuple] = {}
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[a-z]*")
 _NEWLINE = re.compile(r"\r\n?|\n")
 _RUST_COMMENT = re.compile(r"/\*|\*/")
@@ -65,7 +67,13 @@ class Lexed(NamedTuple):
 
 
 def line_starts(text: str) -> list[int]:
-    return [0, *(m.end() for m in _NEWLINE.finditer(text))]
+    if "\r" in text:
+        return [0, *(m.end() for m in _NEWLINE.finditer(text))]
+    starts, at = [0], text.find("\n") + 1
+    while at:
+        starts.append(at)
+        at = text.find("\n", at) + 1
+    return starts
 
 
 def _template_end(text: str, pos: int, lang: str, depth: int = 0) -> int:
@@ -112,66 +120,96 @@ def _unmatched(text: str, pos: int, lang: str) -> str:
     return "illegal character"
 
 
+def _finder(lang: str) -> tuple[re.Pattern, re.Pattern, list[str]]:
+    """A pattern of white space and the token after it, one of white space alone, and the kind of token of each group."""
+    if lang not in _FIND:
+        spaces = _SPACES.get(lang, _SPACES[""])
+        tokens = re.sub(r"\(\?P<w>(?:\\.|\[(?:\\.|[^\]])*\]|[^)\\\[])*\)\|", "", _PATTERNS[lang], count=1)
+        find = re.compile(rf"{spaces}(?:{tokens})")
+        kinds = [""] * (find.groups + 1)
+        for name, k in find.groupindex.items():
+            kinds[k] = name
+        _FIND[lang] = find, re.compile(spaces), kinds
+    return _FIND[lang]
+
+
 def lex(lang: str, text: str) -> Lexed:
     """All tokens of the file; after a lexical fault the lexer skips a character (or, in an unterminated literal, the line) and goes on."""
-    match, tokens, comments, fault = _pattern(lang).match, [], [], None
+    find, spaces, kinds = _finder(lang)
+    tokens, comments, fault = [], [], None
     starts = line_starts(text)
-    pos, n, script = 0, len(text), lang in ("js", "ts")
+    pos, n, script, py = 0, len(text), lang in ("js", "ts"), lang == "py"
     if text.startswith("#!") and not (lang == "rs" and text.startswith("#![")):
         pos = starts[1] if len(starts) > 1 else n
+    line, ends = 1, [*starts[1:], n + 1]  # the line of the current token, and where each line ends
     line_of = bisect_right
     add = tokens.append
     while pos < n:
-        m = match(text, pos)
-        kind = m.lastgroup if m else None
-        if kind == "w":
-            pos = m.end()
-            continue
-        if script and kind in ("p", "c", None) and text[pos] in "/`":
-            if text[pos] == "`":
-                end = _template_end(text, pos, lang)
-                if end > 0:
-                    add(("s", text[pos:end], pos, line_of(starts, pos)))
-                    pos = end
-                    continue
-                m = None
+        odd = -1  # where no token of the pattern stands, or one that needs a closer look
+        for m in find.finditer(text, pos):
+            group = m.lastindex
+            kind, (start, end) = kinds[group], m.span(group)
+            if m.start() != pos:
+                odd = spaces.match(text, pos).end()
+                break
+            while start >= ends[line - 1]:
+                line += 1
+            if kind == "i":
+                pos = end
+                add(("i", text[start:end], start, line))
             elif kind == "p":
-                last = tokens[-1] if tokens else None
-                if last is None or last[0] == "p" and last[1] not in ")]}" and last[1] not in ("++", "--") or last[0] == "i" and last[1] in _BEFORE_REGEX:
-                    if r := _REGEX.match(text, pos):
-                        add(("s", r[0], pos, line_of(starts, pos)))
-                        pos = r.end()
-                        continue
-        if kind == "p" and lang != "py" and text.startswith("/*", pos):
-            m = None
-        if m is None:
-            if lang == "rs" and text.startswith("/*", pos):  # comments nest
-                level, end = 0, n
-                for c in _RUST_COMMENT.finditer(text, pos):
-                    level += 1 if c[0] == "/*" else -1
-                    if not level:
-                        end = c.end()
+                mark = text[start:end]
+                if mark[0] == "/" and not py:
+                    if text.startswith("/*", start):
+                        odd = start
                         break
-                if not level:
-                    comments.append((text[pos:end], pos, line_of(starts, pos), line_of(starts, end - 1)))
-                    pos = end
-                    continue
-            fault = fault or f"{_unmatched(text, pos, lang)} at line {line_of(starts, pos)}"
-            cut = text[pos] in "\"'`"
-            k = line_of(starts, pos)
-            whole = lang != "py" and text.startswith("/*", pos)
-            pos = n if whole else (starts[k] if k < len(starts) else n) if cut else pos + 1
-            continue
-        start, pos = pos, m.end()
-        if kind == "c":
-            comments.append((m[0], start, line_of(starts, start), line_of(starts, pos - 1)))
-        elif kind == "h":
-            add(("s", m[0], start, line_of(starts, start)))
+                    if script:
+                        last = tokens[-1] if tokens else None
+                        if last is None or last[0] == "p" and last[1] not in ")]}" and last[1] not in ("++", "--") or last[0] == "i" and last[1] in _BEFORE_REGEX:
+                            if r := _REGEX.match(text, start):
+                                add(("s", r[0], start, line))
+                                pos = r.end()
+                                break
+                pos = end
+                add(("p", mark, start, line))
+            elif kind == "c":
+                pos = end
+                comments.append((text[start:end], start, line, line_of(starts, pos - 1)))
+            else:
+                pos = end
+                if kind == "m":
+                    fault = fault or f"merge-conflict marker at line {line}"
+                elif kind == "d" and pos < n and (text[pos].isalpha() or text[pos] == "_"):
+                    if not (py and re.match(r"(?:if|else|and|or|in|is|for|not)\b", text[pos : pos + 5])):
+                        fault = fault or f"malformed number at line {line}"
+                add((kind, text[start:end], start, line))
         else:
-            if kind == "m":
-                fault = fault or f"merge-conflict marker at line {line_of(starts, start)}"
-            elif kind == "d" and pos < n and (text[pos].isalpha() or text[pos] == "_"):
-                if not (lang == "py" and re.match(r"(?:if|else|and|or|in|is|for|not)\b", text[pos : pos + 5])):
-                    fault = fault or f"malformed number at line {line_of(starts, start)}"
-            add((kind, m[0], start, line_of(starts, start)))
+            odd = spaces.match(text, pos).end()
+        if odd < 0:
+            continue
+        if odd >= n:
+            break
+        pos = odd
+        line = line_of(starts, pos)
+        if script and text[pos] == "`":
+            end = _template_end(text, pos, lang)
+            if end > 0:
+                add(("s", text[pos:end], pos, line))
+                pos = end
+                continue
+        if lang == "rs" and text.startswith("/*", pos):  # comments nest
+            level, end = 0, n
+            for c in _RUST_COMMENT.finditer(text, pos):
+                level += 1 if c[0] == "/*" else -1
+                if not level:
+                    end = c.end()
+                    break
+            if not level:
+                comments.append((text[pos:end], pos, line, line_of(starts, end - 1)))
+                pos = end
+                continue
+        fault = fault or f"{_unmatched(text, pos, lang)} at line {line}"
+        cut = text[pos] in "\"'`"
+        whole = not py and text.startswith("/*", pos)
+        pos = n if whole else (starts[line] if line < len(starts) else n) if cut else pos + 1
     return Lexed(tokens, comments, fault, starts)
