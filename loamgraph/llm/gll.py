@@ -59,6 +59,69 @@ GRAMMARS: dict[str, dict[str, list[tuple[str, ...]]]] = {
 }
 GRAMMARS["ts"] = GRAMMARS["js"]
 
+# Tokens that a terminal can begin with; None: any token, "": any word.
+_BEGINS = {"PARENS": {"("}, "BRACES": {"{"}, "BRACKETS": {"["}, "ANGLES": {"<"}, "NAME": {""}, "MEMBER": {""}, "WORD": {""}, "ITEM": None, "TYPE": None}
+
+
+def select_sets(grammar: dict[str, list[tuple[str, ...]]]) -> dict[str, list[list[frozenset[str] | None]]]:
+    """Per rule, alternative and dot: the tokens with which the rest of the alternative can go on, None where that may be any token or nothing."""
+    nullable: set[str] = set()
+    first: dict[str, set | None] = {rule: set() for rule in grammar}
+
+    def rest(body: tuple[str, ...]) -> set | None:
+        out: set = set()
+        for symbol in body:
+            begins = first[symbol] if symbol in grammar else {symbol[1:]} if symbol[0] == "'" else _BEGINS[symbol]
+            if begins is None:
+                return None
+            out |= begins
+            if symbol not in nullable:
+                return out
+        return None  # nothing more may be needed
+
+    changed = True
+    while changed:
+        changed = False
+        for rule, alternatives in grammar.items():
+            for body in alternatives:
+                if rule not in nullable and all(x in nullable for x in body):
+                    nullable.add(rule)
+                    changed = True
+                begins: set | None = set()
+                for symbol in body:
+                    own = first[symbol] if symbol in grammar else {symbol[1:]} if symbol[0] == "'" else _BEGINS[symbol]
+                    begins = None if own is None or begins is None else begins | own
+                    if symbol not in nullable or begins is None:
+                        break
+                new = None if begins is None or first[rule] is None else first[rule] | begins
+                if new != first[rule]:
+                    first[rule], changed = new, True
+    return {rule: [[(lambda r: None if r is None else frozenset(r))(rest(body[k:])) for k in range(len(body) + 1)] for body in alternatives] for rule, alternatives in grammar.items()}
+
+
+class Slots(NamedTuple):
+    """A grammar as numbered slots: the one after a slot is the next dot of its alternative."""
+
+    starts: dict[str, list[int]]  # first slots of the alternatives of each rule
+    symbols: list[str | None]  # what stands after the dot; None at the end
+    literals: list[str | None]  # its text, if it is a literal
+    wanted: list[frozenset[str] | None]  # tokens with which the alternative can go on
+
+
+def compiled(grammar: dict[str, list[tuple[str, ...]]]) -> Slots:
+    out, select = Slots({}, [], [], []), select_sets(grammar)
+    for rule, alternatives in grammar.items():
+        out.starts[rule] = []
+        for body, sets in zip(alternatives, select[rule], strict=True):
+            out.starts[rule].append(len(out.symbols))
+            out.symbols.extend([*body, None])
+            out.literals.extend([x[1:] if x[0] == "'" else None for x in body] + [None])
+            out.wanted.extend(sets)
+    return out
+
+
+_SLOTS: dict[str, Slots] = {}
+
 _MEMBER_BEFORE = set("{ } ; , * async get set static public private protected readonly abstract override accessor declare".split())
 _JAVA_NOT_TYPE = set("new return throw else do case assert instanceof".split())
 # Words that begin a declaration at the start of a line, where recovery takes up.
@@ -77,6 +140,9 @@ class Parser:
     def __init__(self, lang: str, lexed: Lexed):
         self.lang, self.tokens = lang, lexed.tokens
         self.grammar, self.reserved = GRAMMARS[lang], RESERVED[lang]
+        if lang not in _SLOTS:
+            _SLOTS[lang] = compiled(self.grammar)
+        self.texts = [t[1] if t[0] != "i" else "" for t in self.tokens]
         self.partner = self._match_brackets()
         self._done: dict[tuple[str, int], set[tuple[int, int]]] = {}
         self._after_angle: dict[int, int] = {}  # by position of the "<"
@@ -139,8 +205,6 @@ class Parser:
         if pos >= len(self.tokens):
             return -1
         kind, text, _, _ = self.tokens[pos]
-        if symbol[0] == "'":
-            return pos + 1 if text == symbol[1:] and kind != "s" else -1
         if symbol in ("NAME", "MEMBER", "WORD"):
             if kind != "i" or text in self.reserved:
                 return -1
@@ -178,35 +242,48 @@ class Parser:
         key0 = (start, pos)
         if key0 in self._done:
             return self._done[key0]
-        callers: dict[tuple[str, int], set] = {key0: set()}  # the graph-structured stack
+        starts, symbols, literals, wanted = _SLOTS[self.lang]
+        tokens, texts, n = self.tokens, self.texts, len(self.tokens)
+        callers: dict[tuple[str, int], set] = {key0: set()}  # the graph-structured stack: who waits for a node
         results: dict[tuple[str, int], set[tuple[int, int]]] = {key0: set()}
-        todo = [(start, a, 0, key0, pos, -1) for a in range(len(self.grammar[start]))]
-        seen = set(todo)
+        todo: list[tuple] = []
+        seen: set[tuple] = set()
+
+        def put(slot: int, node: tuple[str, int], at: int, name: int) -> None:
+            can = wanted[slot]  # the token at hand must let the slot go on
+            if can is None or at < n and (texts[at] in can or not texts[at] and tokens[at][1] in can):
+                d = (slot, node, at, name)
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+
+        for slot in starts[start]:
+            put(slot, key0, pos, -1)
         while todo:
-            rule, alt, dot, node, at, name = todo.pop()
-            body = self.grammar[rule][alt]
-            fresh = []
-            if dot == len(body):
+            slot, node, at, name = todo.pop()
+            symbol = symbols[slot]
+            if symbol is None:
                 if (at, name) not in results[node]:
                     results[node].add((at, name))
-                    fresh = [(r, a, d, n, at, name if name >= 0 else m) for r, a, d, n, m in callers[node]]
-            elif body[dot] in self.grammar:
-                child = (body[dot], at)
-                back = (rule, alt, dot + 1, node, name)
+                    for back, above, m in callers[node]:
+                        put(back, above, at, name if name >= 0 else m)
+            elif literals[slot] is not None:
+                if at < n and tokens[at][1] == literals[slot] and tokens[at][0] != "s":
+                    put(slot + 1, node, at + 1, name)
+            elif symbol in starts:
+                child, back = (symbol, at), (slot + 1, node, name)
                 if child not in callers:
                     callers[child], results[child] = set(), set()
-                    fresh = [(body[dot], a, 0, child, at, -1) for a in range(len(self.grammar[body[dot]]))]
+                    for first in starts[symbol]:
+                        put(first, child, at, -1)
                 if back not in callers[child]:
                     callers[child].add(back)
-                    fresh += [(rule, alt, dot + 1, node, end, m if m >= 0 else name) for end, m in results[child]]
+                    for end, m in results[child]:
+                        put(slot + 1, node, end, m if m >= 0 else name)
             else:
-                end = self.terminal(body[dot], at)
+                end = self.terminal(symbol, at)
                 if end >= 0:
-                    fresh = [(rule, alt, dot + 1, node, end, at if body[dot] in ("NAME", "MEMBER") else name)]
-            for d in fresh:
-                if d not in seen:
-                    seen.add(d)
-                    todo.append(d)
+                    put(slot + 1, node, end, at if symbol in ("NAME", "MEMBER") else name)
         self._done[key0] = results[key0]
         return results[key0]
 
