@@ -30,7 +30,7 @@ class Graph:
                 return rows.select("ord", F.col("other").alias("id"), "path", "relation")
         nodes = r.nodes.where(under("path", within))
         terms = r.terms.join(nodes.select("id"), "id", "left_semi") if within else r.terms
-        lexical = materialize(textsearch.lexical_scan(nodes, question), "lexical")
+        lexical = materialize(textsearch.lexical_scan(nodes, question) if within else r.lexical(question), "lexical")
         ranks = textsearch.pagerank(nodes, r.walk, lexical.select("id", F.col("lexical").alias("weight")))
         cands = materialize(textsearch.candidates(nodes, lexical, ranks, question), "candidates")
         idf = textsearch.inverse_frequency(terms, textsearch.corpus_stats(nodes, terms))

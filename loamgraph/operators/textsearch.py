@@ -15,6 +15,7 @@ from loamgraph.session import materialize, ship
 K1, B = 1.2, 0.75
 ALPHA, ROUNDS = 0.25, 25
 GRAPH_WEIGHT, RESCUE_FLOOR, TEST_PENALTY, PARTICIPATION = 0.5, 0.15, 0.35, 0.25
+RRF = 60
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
@@ -279,3 +280,24 @@ def bm25f(queries: DataFrame, docs: DataFrame) -> DataFrame:
     weighted = each.join(df, "term").join(F.broadcast(n)).select("id", "term", (idf * F.col("x") / (K1 + F.col("x"))).alias("s"))
     q = queries.select(F.col("id").alias("query"), "term", "qw")
     return q.join(weighted, "term").groupBy("query", "id").agg(F.sum(F.col("qw") * F.col("s")).alias("score"))
+
+
+def federated(scored: DataFrame, limit: int = 8) -> DataFrame:
+    """position, child, id, path, file_rank, share: the answer of a workspace from the scores of its members (child, id, path, score), a top-k report.
+
+    Members whose best hit has at least a quarter of the best of all take part. Their files are ranked by their best hit, member by member, and fused by
+    reciprocal rank (``share`` of the best); the best hit of all comes first, then the files take turns. Only the first
+    ``limit`` files of a member and hits of a file can be shown, so no member is ranked as a whole.
+    """
+    best = F.broadcast(scored.agg(F.max("score").alias("_top")))
+    files = scored.groupBy("child", "path").agg(F.max("score").alias("file_score"))
+    taking = files.groupBy("child").agg(F.max("file_score").alias("_best")).join(best).where(F.col("_best") >= PARTICIPATION * F.col("_top")).select("child")
+    order = Window.partitionBy("child").orderBy(F.desc("file_score"), "path")
+    ranked = files.join(taking, "child", "left_semi").withColumn("file_rank", F.row_number().over(order)).where(F.col("file_rank") <= limit)
+    turn = Window.partitionBy("child", "path").orderBy(F.desc("score"), "id")
+    hits = scored.join(ranked, ["child", "path"]).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= limit)
+    first = F.broadcast(scored.agg(F.max_by(F.struct("child", "id"), F.struct("score", F.col("id"))).alias("_first")))
+    locked = (F.col("child") == F.col("_first.child")) & (F.col("id") == F.col("_first.id"))
+    shown = hits.join(first).withColumn("_locked", locked).orderBy(F.desc("_locked"), "turn", "file_rank", F.desc("file_score"), "child", "path").limit(limit)
+    place = Window.orderBy(F.desc("_locked"), "turn", "file_rank", F.desc("file_score"), "child", "path")  # over ``limit`` rows
+    return shown.select(F.row_number().over(place).alias("position"), "child", "id", "path", "file_rank", (F.lit(RRF + 1.0) / (RRF + F.col("file_rank"))).alias("share"))

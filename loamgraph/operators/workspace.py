@@ -57,6 +57,21 @@ def tail_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
     return best.where("b.n = 1").select("ref_id", "b.target")
 
 
+def package_imports(refs: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
+    """ref_id, target of paths that name something in the package of the using file: the package is the longest root above the file, the
+    target the file of that package that the longest tail ends; only where at this length one file ends so.
+
+    ``refs`` has ref_id, path, tail; ``roots`` root.
+    """
+    own = refs.join(resolve_by_prefix(refs.select("ref_id", "path"), roots), "ref_id").select("ref_id", "root", F.posexplode(path_suffixes("tail")).alias("cut", "tail"))
+    paths = files.select("path").distinct()
+    placed = paths.join(resolve_by_prefix(paths.select(F.col("path").alias("ref_id"), "path"), roots).withColumnRenamed("ref_id", "path"), "path")
+    ends = placed.select("path", "root", F.explode(path_suffixes("path")).alias("tail"))
+    counted = ends.join(own.select("root", "tail").distinct(), ["root", "tail"], "left_semi").groupBy("root", "tail").agg(F.count("*").alias("n"), F.min("path").alias("target"))
+    best = own.join(counted, ["root", "tail"]).groupBy("ref_id").agg(F.min_by(F.struct("n", "target"), "cut").alias("b"))
+    return best.where("b.n = 1").select("ref_id", "b.target")
+
+
 def includes(refs: DataFrame, files: DataFrame) -> DataFrame:
     """ref_id, target of ``#include``: the file beside the including one, else the only file whose path ends so. ``refs`` has ref_id, path, spec."""
     from loamgraph.operators.resolve import normal_path, resolve_by_suffix

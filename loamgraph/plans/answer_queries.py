@@ -344,13 +344,6 @@ def x19_record_topics(r: Relations) -> DataFrame:
     return textsearch.topic_links(term_bag(docs, "doc_id", "text"), files, known=known).select("file", "record", r6("score").alias("score"), r6("z").alias("z"))
 
 
-@query("f6_inline_tests", statement(NODES, select=f"SELECT DISTINCT id FROM gn WHERE kind = 'function' AND starts_with(name, 'test_') AND suffix(path, '.py') AND {G._TEST_ASK.format(p='path')} UNION SELECT DISTINCT s.id FROM gn s JOIN gn h ON h.path = s.path AND h.kind = 'class' AND starts_with(h.name, 'Test') AND suffix(h.path, '.py') AND s.start_line >= h.start_line AND s.end_line <= h.end_line WHERE s.kind <> 'file'"))
-def f6_inline_tests(r: Relations) -> DataFrame:
-    from loamgraph.operators.workspace import inline_tests
-
-    return inline_tests(r.nodes)
-
-
 @query("w11_capped_find", statement(LINES, f"hit AS (SELECT path, line, row_number() OVER (ORDER BY path, line) AS k FROM gl WHERE regexp_matches(text, '{G._PATTERN_SQL}'))", select="SELECT count(*) FILTER (k <= 300) AS shown, count(*) FILTER (k > 300) AS hidden, (SELECT count(DISTINCT path) FROM hit WHERE path NOT IN (SELECT path FROM hit WHERE k <= 300)) AS dropped_files FROM hit"))
 def w11_capped_find(r: Relations) -> DataFrame:
     """What a search report shows of its hits: the first 300 in file order, and how much is hidden. The cap is the report's feature."""

@@ -81,7 +81,7 @@ def a6_corpus_stats(r: Relations) -> DataFrame:
 
 
 def _lexical(r: Relations) -> DataFrame:
-    return textsearch.lexical_scan(r.nodes, QUESTION)
+    return r.lexical(QUESTION)
 
 
 @query("x5_lexical", statement(TERMS, _LEX, select="SELECT id, round(name_score, 6) AS name_score, round(path_score, 6) AS path_score, round(body_score, 6) AS body_score, round(lexical, 6) AS lexical FROM lex WHERE lexical > 0"))
@@ -124,9 +124,16 @@ def _ranks(r: Relations, lexical: DataFrame) -> DataFrame:
     return textsearch.pagerank(r.nodes, r.walk, lexical.select("id", F.col("lexical").alias("weight")))
 
 
-@query("x6_pagerank", statement(TERMS, WALK, _LEX, _pagerank_sql(), select="SELECT id, round(rank, 6) AS rank FROM pr WHERE round(rank, 6) > 0"))
+@query("x6_pagerank", statement(TERMS, WALK, _LEX, _pagerank_sql(), select="SELECT id, round(rank, 6) AS rank FROM pr"))
 def x6_pagerank(r: Relations) -> DataFrame:
-    return _ranks(r, _lexical(r)).select("id", r6("rank").alias("rank")).where("rank > 0")
+    return _ranks(r, _lexical(r)).select("id", r6("rank").alias("rank"))
+
+
+@query("x6_pagerank_joins", statement(TERMS, WALK, _LEX, _pagerank_sql(), select="SELECT id, round(rank, 6) AS rank FROM pr"))
+def x6_pagerank_joins(r: Relations) -> DataFrame:
+    """The same walk as a graph of any size takes it: by joins, no task holds it whole."""
+    weights = _lexical(r).select("id", F.col("lexical").alias("weight"))
+    return textsearch.pagerank(r.nodes, r.walk, weights, local_links=0).select("id", r6("rank").alias("rank"))
 
 
 _CAND = f"""cand AS (SELECT n.id, n.path, coalesce(l.lexical, 0) / (SELECT max(lexical) FROM lex) AS lexical, coalesce(p.rank, 0) AS graph,
@@ -733,45 +740,12 @@ def s15_entries(r: Relations) -> DataFrame:
     return records.record_entries(r.documents)
 
 
-_MENTIONS = """mn AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(text, '[A-Za-z0-9_.\\-]+(?:/[A-Za-z0-9_.\\-]+)+'), regexp_extract_all(text, '`([^`\\s]+)`', 1))) AS token FROM documents WHERE text IS NOT NULL)"""
-
-
-@query(
-    "j20_static_links",
-    statement(
-        NODES, _MENTIONS, "un AS (SELECT name AS token, min(id) AS id FROM gn WHERE kind <> 'file' GROUP BY name HAVING count(*) = 1)",
-        "ht AS (SELECT m.doc_id, g.id, CASE WHEN g.kind = 'file' THEN 2 ELSE 0 END AS level FROM mn m JOIN gn g ON g.id = m.token UNION ALL SELECT m.doc_id, u.id, 0 FROM mn m JOIN un u USING (token))",
-        select="SELECT doc_id, id, min(level) AS level FROM ht GROUP BY doc_id, id",
-    ),
-)
-def j20_static_links(r: Relations) -> DataFrame:
-    return records.static_links(r.documents, r.nodes)
-
-
-@query(
-    "j19_file_mentions",
-    statement(
-        FILES, _MENTIONS, "fp AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM gf)",
-        "fr AS (SELECT path, path AS token, 1.0 AS w FROM fp UNION ALL SELECT path, s[-1], 0.6 FROM fp UNION ALL SELECT path, CASE WHEN strpos(substr(s[-1], 2), '.') > 0 THEN regexp_replace(s[-1], '\\.[^.]*$', '') ELSE s[-1] END, 0.3 FROM fp UNION ALL SELECT path, array_to_string(list_slice(s, 1, k), '/'), 0.1 FROM (SELECT path, s, unnest(range(1, len(s))) AS k FROM fp))",
-        "fo AS (SELECT path, token, max(w) AS w FROM fr GROUP BY ALL)", "nf AS (SELECT token, count(*) AS n FROM fo GROUP BY token)",
-        select="SELECT m.doc_id, f.path, round(sum(f.w / sqrt(n.n)), 6) AS weight FROM mn m JOIN fo f USING (token) JOIN nf n USING (token) GROUP BY ALL",
-    ),
-)
-def j19_file_mentions(r: Relations) -> DataFrame:
-    return records.file_mentions(r.documents, r.files).select("doc_id", "path", r6("weight").alias("weight"))
-
-
 @query("g11_why", statement(LINKS, RECORDS, select="SELECT node, entry, min(level) AS level, entry IN (SELECT doc_id FROM gone) AS superseded FROM lk WHERE node <> '' AND entry IS NOT NULL GROUP BY node, entry"))
 def g11_why(r: Relations) -> DataFrame:
     entries = records.record_entries(r.documents)
     return records.why(r.links, entries, records.superseded(entries, r.documents))
 
 
-@query("j21_superseded", statement(RECORDS, select="SELECT doc_id, by_ AS \"by\" FROM gone"))
-def j21_superseded(r: Relations) -> DataFrame:
-    return records.superseded(records.record_entries(r.documents), r.documents)
-
-
 @query(
     "x21_folders",
     statement(
@@ -845,11 +819,6 @@ def a18_hit_rate(r: Relations) -> DataFrame:
     return rollups.hit_rate(r.raw("events"), "user_id", ["purchase", "signup"], ["error"]).select("user_id", r6("rate").alias("rate"))
 
 
-@query("a20_parsed_savings", "SELECT DISTINCT doc_id, list_sum(list_transform(regexp_extract_all(text, '~([0-9.]+k?) tokens saved', 1), lambda s: CAST(rtrim(s, 'k') AS DOUBLE) * CASE WHEN suffix(s, 'k') THEN 1000 ELSE 1 END)) AS saved FROM documents WHERE regexp_matches(text, '~[0-9.]+k? tokens saved')")
-def a20_parsed_savings(r: Relations) -> DataFrame:
-    return rollups.parsed_savings(r.documents)
-
-
 @query("f9_family_edges", statement(NODES, WALK, f"fm AS MATERIALIZED (SELECT id, {_FAM.format(p='path')} AS f FROM gn)", "both_ AS MATERIALIZED (SELECT w.edge_id, s.f AS sf, t.f AS tf FROM we w JOIN fm s ON s.id = w.source JOIN fm t ON t.id = w.target)", select="SELECT edge_id FROM both_ WHERE sf = tf"))
 def f9_family_edges(r: Relations) -> DataFrame:
     """Walk edges that stay in one language family."""

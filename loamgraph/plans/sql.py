@@ -33,19 +33,23 @@ tt AS (SELECT id, field, term, count(*) AS tf FROM (
   SELECT id, 'body', unnest({tokens_sql('body_text')}) FROM gn) GROUP BY ALL)"""
 
 
-# Entries and what supersedes what, from documents whose text has fenced code blocks taken out line by line.
-RECORDS = r"""dl AS MATERIALIZED (SELECT doc_id, path, line, text, fences % 2 = 1 AS fenced FROM (
+def records_sql(docs: str = "documents", s: str = "") -> str:
+    """Entries (``en``) and what supersedes what (``gone``) of documents, lines of fenced code left out; ``s`` ends the names."""
+    return rf"""dl{s} AS MATERIALIZED (SELECT doc_id, path, line, text, fences % 2 = 1 AS fenced FROM (
   SELECT *, sum(starts_with(text, '```')::INT) OVER (PARTITION BY doc_id ORDER BY line) AS fences FROM (
     SELECT doc_id, path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (
-      SELECT doc_id, path, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS parts FROM (SELECT DISTINCT doc_id, path, text FROM documents WHERE text IS NOT NULL))))),
-dt AS (SELECT doc_id, arg_min(d, line) AS date FROM (SELECT doc_id, line, regexp_extract(text, '(\d{4}-\d{2}-\d{2})', 1) AS d FROM dl WHERE NOT fenced AND contains(text, 'Date:')) WHERE d <> '' GROUP BY doc_id),
-hl AS (SELECT doc_id, line, length(regexp_extract(text, '^(#{1,6})[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]', 1)) AS level, trim(regexp_replace(text, '^#{1,6}\s+|\s+#*\s*$', '', 'g')) AS heading FROM dl WHERE NOT fenced),
-hd AS (SELECT doc_id, arg_min(heading, line) AS heading, min(line) AS line FROM hl WHERE level > 0 GROUP BY doc_id),
-en AS MATERIALIZED (SELECT d.doc_id, coalesce(h.line, 1) AS line, coalesce(h.heading, p.path) AS heading, d.date FROM dt d JOIN (SELECT DISTINCT doc_id, path FROM documents) p USING (doc_id) LEFT JOIN hd h USING (doc_id)),
-ek AS (SELECT doc_id, date, trim(regexp_replace(lower(heading), '[—–,\s]+', ' ', 'g')) AS h FROM en),
-ow AS (SELECT DISTINCT doc_id, date, key FROM (SELECT doc_id, date, unnest([h, trim(regexp_replace(h, '^(adr-\d+:|\d{4}-\d{2}-\d{2})\s*', '')), regexp_extract(h, '^(adr-\d+)', 1)]) AS key FROM ek) WHERE key <> ''),
-nm AS (SELECT doc_id AS by_, trim(regexp_replace(lower(unnest(regexp_extract_all(text, '(?i)\*{0,2}supersedes:?\*{0,2}:?\s*(.+)$', 1))), '[—–,\s]+', ' ', 'g')) AS key FROM dl WHERE NOT fenced),
-gone AS (SELECT o.doc_id, min(n.by_) AS by_ FROM ow o JOIN nm n USING (key) JOIN en b ON b.doc_id = n.by_ WHERE n.by_ <> o.doc_id AND b.date >= o.date GROUP BY o.doc_id)"""
+      SELECT doc_id, path, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS parts FROM (SELECT DISTINCT doc_id, path, text FROM {docs} WHERE text IS NOT NULL))))),
+dt{s} AS (SELECT doc_id, arg_min(d, line) AS date FROM (SELECT doc_id, line, regexp_extract(text, '(\d{{4}}-\d{{2}}-\d{{2}})', 1) AS d FROM dl{s} WHERE NOT fenced AND contains(text, 'Date:')) WHERE d <> '' GROUP BY doc_id),
+hl{s} AS (SELECT doc_id, line, length(regexp_extract(text, '^(#{{1,6}})[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]', 1)) AS level, trim(regexp_replace(text, '^#{{1,6}}\s+|\s+#*\s*$', '', 'g')) AS heading FROM dl{s} WHERE NOT fenced),
+hd{s} AS (SELECT doc_id, arg_min(heading, line) AS heading, min(line) AS line FROM hl{s} WHERE level > 0 GROUP BY doc_id),
+en{s} AS MATERIALIZED (SELECT d.doc_id, coalesce(h.line, 1) AS line, coalesce(h.heading, p.path) AS heading, d.date FROM dt{s} d JOIN (SELECT DISTINCT doc_id, path FROM {docs}) p USING (doc_id) LEFT JOIN hd{s} h USING (doc_id)),
+ek{s} AS (SELECT doc_id, date, trim(regexp_replace(lower(heading), '[—–,\s]+', ' ', 'g')) AS h FROM en{s}),
+ow{s} AS (SELECT DISTINCT doc_id, date, key FROM (SELECT doc_id, date, unnest([h, trim(regexp_replace(h, '^(adr-\d+:|\d{{4}}-\d{{2}}-\d{{2}})\s*', '')), regexp_extract(h, '^(adr-\d+)', 1)]) AS key FROM ek{s}) WHERE key <> ''),
+nm{s} AS (SELECT doc_id AS by_, trim(regexp_replace(lower(unnest(regexp_extract_all(text, '(?i)\*{{0,2}}supersedes:?\*{{0,2}}:?\s*(.+)$', 1))), '[—–,\s]+', ' ', 'g')) AS key FROM dl{s} WHERE NOT fenced),
+gone{s} AS (SELECT o.doc_id, min(n.by_) AS by_ FROM ow{s} o JOIN nm{s} n USING (key) JOIN en{s} b ON b.doc_id = n.by_ WHERE n.by_ <> o.doc_id AND b.date >= o.date GROUP BY o.doc_id)"""
+
+
+RECORDS = records_sql()
 
 
 def statement(*parts: str, select: str) -> str:

@@ -76,6 +76,12 @@ class Relations:
         cols = ["link_id", "entry", "level", path_key("node").alias("node"), path_key("path").alias("path"), "line", "name", "via", "linked_at"]
         return self.raw("record_links").select(*cols).where("link_id is not null").dropDuplicates(["link_id"])
 
+    def lexical(self, question: str) -> DataFrame:
+        """The scores of all nodes for a question, from the index of the table; the first question builds it."""
+        from loamgraph.operators.askindex import AskIndex
+
+        return AskIndex.of(self.spark, f"{self.folder.rstrip('/')}/nodes.parquet", self.nodes).lexical(question)
+
     @cached_property
     def terms(self) -> DataFrame:
         """id, field (``name``, ``path``, ``body``), term, tf of every node."""
