@@ -131,7 +131,9 @@ def resolve_exports(wanted: DataFrame, exports: DataFrame, reexports: DataFrame,
     ``wanted`` has ref_id, path, name; ``exports`` path, name, id (definitions); ``reexports`` path, name (``*`` for all), source, source_name.
     The nearest definition wins; a name that several lead to on the same level is dropped, and so are cycles.
     """
-    frontier = wanted.select("ref_id", "path", "name")
+    exports = materialize(exports.select("path", "name", "id").distinct(), "exports")
+    reexports = materialize(reexports.select("path", "name", "source", "source_name").distinct(), "reexports")
+    frontier = materialize(wanted.select("ref_id", "path", "name"), "wanted")
     seen, hits = frontier, []
     for k in range(depth + 1):
         hits.append(frontier.join(exports.select("path", "name", "id"), ["path", "name"]).select("ref_id", "id", F.lit(k).alias("hops")))

@@ -149,7 +149,10 @@ def pagerank(nodes: DataFrame, walk: DataFrame, seeds: DataFrame, *, rounds: int
     restart = (start.join(total, g) if g else start.join(F.broadcast(total))).select(*g, "id", (F.col("weight") / F.col("_t")).alias("r")).persist(StorageLevel.MEMORY_AND_DISK)
     if adjacency.count() <= local_links:
         ship(nodes.sparkSession)
-        return _walk_in_one_task(adjacency, restart, rounds, alpha, g)
+        walked = materialize(_walk_in_one_task(adjacency, restart, rounds, alpha, g), "ranks")
+        adjacency.unpersist()
+        restart.unpersist()
+        return walked
     # A node without neighbours gets mass from the restart alone, so what returns from all of them in a round is a number that
     # follows from their share of the seeds: lost(k + 1) = share * (alpha + (1 - alpha) * lost(k)), lost(0) = share.
     idle = restart.join(adjacency.select(*g, "id").distinct(), [*g, "id"], "left_anti").groupBy(*g).agg(F.sum("r").alias("idle"))

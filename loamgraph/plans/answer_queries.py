@@ -123,13 +123,13 @@ def _scoped_sql() -> str:
     return s.replace(f"pr AS (SELECT id, m / (SELECT max(m) FROM m{end}) AS rank FROM m{end} WHERE m > 0)", f"pr AS (SELECT sc.scope, id, m / max(m) OVER (PARTITION BY sc.scope) AS rank FROM m{end} JOIN sc USING (id) WHERE m > 0)")
 
 
-@query("x11_scoped_pagerank", statement(TERMS, WALK, G._LEX, _scoped_sql(), select="SELECT scope, id, round(rank, 6) AS rank FROM pr WHERE round(rank, 6) > 0"))
+@query("x11_scoped_pagerank", statement(TERMS, WALK, G._LEX, _scoped_sql(), select="SELECT scope, id, round(rank, 6) AS rank FROM pr"))
 def x11_scoped_pagerank(r: Relations) -> DataFrame:
     """One walk per scope over the scope's own subgraph, all scopes in the same jobs."""
     scope = F.substring_index("path", "/", 1).alias("scope")
     nodes = r.nodes.select("id", scope)
     seeds = G._lexical(r).join(nodes, "id").select("scope", "id", F.col("lexical").alias("weight"))
-    return textsearch.pagerank(nodes, r.walk, seeds, group=["scope"]).select("scope", "id", r6("rank").alias("rank")).where("rank > 0")
+    return textsearch.pagerank(nodes, r.walk, seeds, group=["scope"]).select("scope", "id", r6("rank").alias("rank"))
 
 
 @query("x13_structural", statement(NODES, WALK, select=f"SELECT DISTINCT w.source AS other, w.relation FROM we w JOIN gn n ON n.id = w.target WHERE n.kind = 'file' AND lower(n.path) LIKE '%/{G.SYMBOL}' AND w.relation <> 'imports'"))

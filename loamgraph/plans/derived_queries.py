@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions.text import base_name, parent_dir
-from loamgraph.operators import records, resolve, rollups, textsearch, workspace
+from loamgraph.operators import extract, proofs, records, resolve, rollups, textsearch, workspace
 from loamgraph.plans import graph_queries as G
 from loamgraph.plans.sql import EDGES, FILES, LINKS, NODES, TERMS, records_sql, statement
 from loamgraph.sources import repository
@@ -340,3 +340,64 @@ def x22_federated_ask(r: Relations) -> DataFrame:
     """The answer of a workspace whose prefixes are its members, a top-k report of twenty."""
     scored = r.lexical(G.QUESTION).join(r.nodes.select("id", "path", F.substring_index("path", "/", 1).alias("child")), "id").select("child", "id", "path", F.round("lexical", 9).alias("score"))
     return textsearch.federated(scored, limit=20).withColumn("share", G.r6("share"))
+
+
+# --- extraction and proofs -------------------------------------------------------------------------------------------
+
+
+@query("s7_symbols")
+def s7_symbols(r: Relations) -> DataFrame:
+    """Declarations of all source files. SQL cannot parse them; the tests hold fixtures of five languages, and ``s7_agreement`` compares with the table of nodes."""
+    return extract.extract_symbols(r.files).drop("variadic")
+
+
+@query("s7_raw_edges")
+def s7_raw_edges(r: Relations) -> DataFrame:
+    return extract.extract_edges(r.files)
+
+
+@query("s7_agreement")
+def s7_agreement(r: Relations) -> DataFrame:
+    """language, n_nodes, n_found, n_same: of the symbols that the nodes table has in the present files, how many are extracted at their line, and with the same kind, owner and arity."""
+    ending = F.regexp_extract("path", r"\.(\w+)$", 1).alias("language")
+    nodes = r.symbols.join(r.files.select("path").distinct(), "path", "left_semi").select("path", "name", "start_line", "kind", "owner", "arity")
+    found = extract.extract_symbols(r.files.select("path", "content").distinct()).select("path", "name", "start_line", F.col("kind").alias("k"), F.col("owner").alias("o"), F.col("arity").alias("a")).dropDuplicates(["path", "name", "start_line"])
+    both = nodes.join(found, ["path", "name", "start_line"], "left")
+    same = (F.col("kind") == F.col("k")) & F.col("owner").eqNullSafe(F.col("o")) & F.col("arity").eqNullSafe(F.col("a"))
+    return both.groupBy(ending).agg(F.count("*").alias("n_nodes"), F.count("k").alias("n_found"), F.count_if(same).alias("n_same"))
+
+
+@query(
+    "j27_j29_proven_calls",
+    statement(
+        NODES, FILES, "fn AS (SELECT node_key, id, path, name FROM gn WHERE kind = 'function' AND owner IS NULL AND exported AND regexp_matches(path, '/[^/]*\\.(js|ts|py)$') AND path IN (SELECT path FROM gf))",
+        "un AS (SELECT path, name FROM gn WHERE kind <> 'file' AND owner IS NULL AND exported GROUP BY ALL HAVING count(DISTINCT id) = 1)",
+        select="SELECT regexp_replace(path, '[^/]*$', '') || 'use_' || node_key || regexp_extract(path, '\\.[a-z]+$') AS path, id AS target, 'extracted' AS confidence FROM fn JOIN un USING (path, name)",
+    ),
+)
+def j27_j29_proven_calls(r: Relations) -> DataFrame:
+    """A file beside every exported function of a script or Python file that imports it under another name and calls it: each call leads to the function."""
+    made = r.symbols.where("kind = 'function' and owner is null and exported").where(F.col("path").rlike(r"/[^/]*\.(js|ts|py)$")).join(r.files.select("path").distinct(), "path", "left_semi")
+    base, ending = base_name("path"), F.regexp_extract("path", r"(\.[a-z]+)$", 1)
+    script = F.concat(F.lit("import { "), "name", F.lit(" as q } from './"), base, F.lit("';\nexport function go() {\n  return q(1);\n}\n"))
+    python = F.concat(F.lit("from ."), F.regexp_replace(base, r"\.py$", ""), F.lit(" import "), "name", F.lit(" as q\n\ndef go():\n    return q(1)\n"))
+    users = made.select(F.concat(F.regexp_replace("path", r"[^/]*$", ""), F.lit("use_"), "node_key", ending).alias("path"), F.when(ending == ".py", python).otherwise(script).alias("content"))
+    symbols = r.symbols.select("path", "id", "name", "owner", "exported")
+    return proofs.proven_calls(extract.extract_edges(users), symbols, r.files.select("path").unionByName(users.select("path"))).select("path", "target", "confidence")
+
+
+@query(
+    "g15_precision",
+    statement(
+        NODES, EDGES, G._RAW, *G._RESOLVED,
+        "ju AS (SELECT j.confidence, e.target = j.target AS hit, e.target IN (SELECT id FROM gn) AS said FROM jn j JOIN ge e ON e.edge_id = j.ref_id WHERE j.target IS NOT NULL)",
+        select='SELECT confidence, count(*) AS n, count(*) FILTER (said AND hit) AS "right", count(*) FILTER (said AND NOT hit) AS wrong, count(*) FILTER (NOT said) AS unverified FROM ju GROUP BY confidence',
+    ),
+)
+def g15_precision(r: Relations) -> DataFrame:
+    """Links resolved by name alone, judged by the targets that the edges state: an edge stands for a line, and says nothing if its target is no node."""
+    calls = G._raw_calls(r)
+    found = resolve.resolve_names(calls, r.symbols).join(calls, "ref_id").select("path", F.col("ref_id").alias("line"), "name", "target", "confidence")
+    stated = r.edges.select(F.col("edge_id").alias("ref_id"), "target").join(r.nodes.select(F.col("id").alias("target")), "target", "left_semi")
+    oracle = calls.join(stated, "ref_id").select("path", F.col("ref_id").alias("line"), "name", "target")
+    return proofs.judged(found, oracle)

@@ -655,15 +655,14 @@ def _raw_calls(r: Relations) -> DataFrame:
     return r.edges.where("relation = 'calls' and contains(target, '#')").select(F.col("edge_id").alias("ref_id"), F.regexp_replace("source", r"#.*$", "").alias("path"), F.regexp_replace("target", r"^.*[#.]", "").alias("name"))
 
 
-@query(
-    "j3_resolve_names",
-    statement(
-        NODES, EDGES, _RAW, f"sy AS (SELECT id, path, name, {_FAM.format(p='path')} AS f FROM gn WHERE kind <> 'file')",
-        "lo AS (SELECT path, name, count(*) AS n, min(id) AS id FROM sy GROUP BY ALL)", "ao AS (SELECT name, count(*) AS n, min(id) AS id FROM sy GROUP BY ALL)", "wo AS (SELECT name, f, count(*) AS n, min(id) AS id FROM sy GROUP BY ALL)",
-        f"jn AS (SELECT r.ref_id, CASE WHEN l.n = 1 THEN l.id WHEN l.n IS NULL AND w.n = 1 THEN w.id WHEN l.n IS NULL AND {_FAM.format(p='r.path')} IS NULL AND a.n = 1 THEN a.id END AS target, CASE WHEN l.n = 1 THEN 'extracted' ELSE 'inferred' END AS confidence FROM rw r LEFT JOIN lo l ON l.path = r.path AND l.name = r.name LEFT JOIN ao a ON a.name = r.name LEFT JOIN wo w ON w.name = r.name AND w.f = {_FAM.format(p='r.path')})",
-        select="SELECT ref_id, target, confidence FROM jn WHERE target IS NOT NULL",
-    ),
-)
+_RESOLVED = [
+    f"sy AS (SELECT id, path, name, {_FAM.format(p='path')} AS f FROM gn WHERE kind <> 'file')",
+    "lo AS (SELECT path, name, count(*) AS n, min(id) AS id FROM sy GROUP BY ALL)", "ao AS (SELECT name, count(*) AS n, min(id) AS id FROM sy GROUP BY ALL)", "wo AS (SELECT name, f, count(*) AS n, min(id) AS id FROM sy GROUP BY ALL)",
+    f"jn AS (SELECT r.ref_id, CASE WHEN l.n = 1 THEN l.id WHEN l.n IS NULL AND w.n = 1 THEN w.id WHEN l.n IS NULL AND {_FAM.format(p='r.path')} IS NULL AND a.n = 1 THEN a.id END AS target, CASE WHEN l.n = 1 THEN 'extracted' ELSE 'inferred' END AS confidence FROM rw r LEFT JOIN lo l ON l.path = r.path AND l.name = r.name LEFT JOIN ao a ON a.name = r.name LEFT JOIN wo w ON w.name = r.name AND w.f = {_FAM.format(p='r.path')})",
+]
+
+
+@query("j3_resolve_names", statement(NODES, EDGES, _RAW, *_RESOLVED, select="SELECT ref_id, target, confidence FROM jn WHERE target IS NOT NULL"))
 def j3_resolve_names(r: Relations) -> DataFrame:
     return resolve.resolve_names(_raw_calls(r), r.symbols)
 
@@ -838,13 +837,6 @@ def g8_context_graph(r: Relations) -> DataFrame:
     return both.groupBy("relation").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
 
 
-@query("g15_precision", statement(NODES, EDGES, select="SELECT confidence, count(*) AS n, count(*) FILTER (known) AS confirmed FROM (SELECT confidence, target IN (SELECT id FROM gn) AS known FROM ge WHERE relation = 'calls') GROUP BY confidence"))
-def g15_precision(r: Relations) -> DataFrame:
-    """Call edges per confidence, and how many of them a node confirms."""
-    known = r.nodes.select(F.col("id").alias("target"), F.lit(1).alias("known"))
-    return r.edges.where("relation = 'calls'").join(known, "target", "left").groupBy("confidence").agg(F.count("*").alias("n"), F.count("known").alias("confirmed"))
-
-
 @query("redacted_documents")
 def redacted_documents(r: Relations) -> DataFrame:
     """Documents whose text holds a secret, with the secret taken out."""

@@ -36,8 +36,13 @@ def test_units_and_redaction(spark):
     assert one(spark, text.utf16_length(F.lit("a\U0001f642"))) == 3
     assert one(spark, text.cut_units(F.lit("\U0001f642\U0001f642"), 3)) == "\U0001f642" and one(spark, text.cut_units(F.lit("abc"), 5)) == "abc"
     red = lambda s: one(spark, text.redact(F.lit(s)))
-    assert red("token = 0123456789abcdef") == "token = [redacted]" and red("https://u:pw@h/x") == "https://[redacted]@h/x" and red("plain words") == "plain words"
+    assert red("token = 0123456789abcdef") == "token = [redacted]" and red("https://u:pw@h/x") == "https://h/x" and red("plain words") == "plain words"
     assert "[redacted]" in red("-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----") and red("eyJhbGciOiJI.eyJzdWIiOiIx.sig") == "[redacted]"
+    assert red("auth: Basic abc") == "auth: Basic [redacted]" and red("Bearer abc, x") == "Bearer [redacted], x" and red('AccountKey="a b"; x') == "AccountKey=[redacted]; x"
+    assert red("token: &str") == "token: &str" and red("token == x") == "token == x" and red("hf_" + "a" * 30) == "[redacted]" and red("hf_" + "a" * 29) == "hf_" + "a" * 29
+    assert red("ghp_12345678 xghp_12345678") == "[redacted] xghp_12345678" and red("sk-ant-1234567 sk-12345678 npm_1234") == "sk-ant-1234567 [redacted] npm_1234"
+    assert red("a" * 39 + "1/") == "[redacted]" and red("a" * 41) == "a" * 41 and red("\x1b[31mred\x1b[0m\ttext\n") == "red text"
+    assert red("-----BEGIN X-----\nabc") == "[redacted]" and red("a -----BEGIN X-----b-----END X----- c") == "a [redacted] c"
 
 
 def edges(spark, *pairs):
