@@ -258,3 +258,24 @@ def test_ownership_decays(spark):
     commits = spark.createDataFrame([("a", "x", 1, "2025-01-01"), ("a", "x", 1, "2025-01-01"), ("a", "y", 2, "2024-09-03")], "area string, person string, sha long, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r["person"]: r["score"] for r in rollups.ownership(commits, now="2025-01-01", least=0.0).collect()}
     assert got == {"x": 1.0, "y": 0.5}
+
+
+def test_index_is_kept_up_to_date(spark, rows, tmp_path):
+    from loamgraph.operators.askindex import AskIndex
+    from loamgraph.operators.incremental import VersionedTarget
+
+    cols = "id string, name string, path string, body_text string, term string"
+    first = [(f"n{k}", f"loadCache{k}", f"src/a{k}.py", "cache lock " * k + "stale", "clash") for k in range(6)] + [("z", None, "src/z.py", None, None)]
+    second = [*first[1:4], ("n4", "dropLock4", "src/a4.py", "the session lock", "clash"), ("new", "session", "tests/new.py", "cache session stale", "clash")]
+    index, fresh = AskIndex(VersionedTarget(spark, str(tmp_path / "a"))), AskIndex(VersionedTarget(spark, str(tmp_path / "b")))
+    index.refresh(spark.createDataFrame(first, cols))
+    df = spark.createDataFrame(second, cols)
+    index.refresh(df)
+    fresh.refresh(df)
+    for question in ("how does the cache resolve a stale session lock", "session", "nothing of that kind"):
+        got = [r6 for r6 in rows(index.lexical(question).select("id", F.round("lexical", 9)))]
+        assert got == rows(fresh.lexical(question).select("id", F.round("lexical", 9))) == rows(textsearch.lexical_scan(df, question).select("id", F.round("lexical", 9)))
+    assert {r.id for r in index.target.read("postings").collect()} == {"n4", "new"}  # nothing else was read again
+    assert {r.id for r in index.docs().collect()} == {"n1", "n2", "n3", "n4", "new"}
+    index.refresh(df.limit(0))
+    assert index.lexical("cache").count() == 0
