@@ -127,6 +127,48 @@ def half_life(age_days: Column, days: float) -> Column:
     return F.pow(F.lit(0.5), age_days / days)
 
 
+def thousands(n: str | Column) -> Column:
+    """A whole number with a comma every three digits."""
+    return F.format_number(col(n), 0)
+
+
+def short_number(n: str | Column) -> Column:
+    """A count as it stands below 1,000, with one decimal and ``k`` below 10,000, with ``k`` alone above."""
+    c = col(n).cast("bigint")
+    tenths = F.floor((c + 50) / 100)
+    small = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("k"))
+    return F.when(c < 1000, c.cast("string")).when(tenths < 100, small).otherwise(F.concat(F.floor((c + 500) / 1000).cast("string"), F.lit("k")))
+
+
+# Words before the name in a signature, and words after which a label may end.
+SIGNATURE_MODIFIERS = ["export", "pub", "default", "async", "declare", "abstract", "static", "public", "private", "protected", "override", "readonly"]
+SIGNATURE_KEYWORDS = [r"function\*", "function", "interface", "class", "type", "enum", "const", "let", "var", "def", "fn", "struct", "trait"]
+CLAUSE_WORDS = ["via", "and", "for", "with", "using", "in", "across", "over", "from", "of", "by", "to"]
+_WS = r"[\t\n\x0B\x0C\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def trim_signature(name: str | Column, signature: str | Column) -> Column:
+    """A signature without modifiers, keyword and name; null where nothing is left."""
+    bare = F.regexp_replace(F.trim(col(signature)), rf"^(?:(?:{'|'.join(SIGNATURE_MODIFIERS)}) \s*)*", "")
+    bare = F.regexp_replace(bare, rf"^(?:{'|'.join(SIGNATURE_KEYWORDS)}) \s*", "")
+    n = F.coalesce(col(name), F.lit(""))
+    after = F.regexp_replace(F.ltrim(F.substr(bare, F.length(n) + 1)), "^= ", "")
+    return F.nullif(F.when(bare.startswith(n), after).otherwise(bare), F.lit(""))
+
+
+def short_label(text: str | Column) -> Column:
+    """A label of at most 30 UTF-16 units: cut at the first clause break that leaves 8 units, else at the last space of the second half, else hard, with ``…``."""
+    trim = lambda c: F.regexp_replace(c, rf"^{_WS}+|{_WS}+$", "")
+    bare = trim(F.regexp_replace(col(text), rf"^(?i:concepts?:){_WS}*", ""))
+    at = F.regexp_instr(bare, F.lit(rf"{_WS}(?:\(|—|-{_WS})|:{_WS}|{_WS}(?i:{'|'.join(CLAUSE_WORDS)}){_WS}"))
+    head = F.substr(bare, F.lit(1), F.greatest(F.lit(0), at - 1))
+    rough = cut_units(bare, 31)
+    space = F.length(rough) - F.locate(" ", F.reverse(rough)) + 1  # position of the last space
+    before = F.substr(rough, F.lit(1), space - 1)
+    cut = F.when((F.locate(" ", rough) > 0) & (utf16_length(before) > 15), before).otherwise(cut_units(bare, 30))
+    return F.when(utf16_length(bare) <= 30, bare).when((at > 0) & utf16_length(head).between(8, 30), trim(head)).otherwise(F.concat(F.regexp_replace(cut, rf"{_WS}+$", ""), F.lit("…")))
+
+
 # Parts of key names, and key prefixes with the least length of what follows.
 KEY_WORDS = ["password", "passwd", "secret", "token", "api_key", "apikey", "auth", "accountkey"]
 KEY_PREFIXES = {"github_pat_": 8, "ghp_": 8, "gho_": 8, "glpat-": 8, "AKIA": 12, "AIza": 8, "sk-ant-": 8, "sk_live_": 8, "rk_live_": 8, "sk-": 8, "npm_": 36, "hf_": 30}

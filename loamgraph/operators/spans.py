@@ -147,6 +147,27 @@ def covered_lines(spans: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.sum(fresh).alias("covered"))
 
 
+def covered_chars(covered: DataFrame, files: DataFrame, *, widest: float = 200.0, share: float = 0.5) -> DataFrame:
+    """path, chars: what covered lines stand for: their number times the average length of a line of the file, at most ``widest``, times ``share``.
+
+    ``covered`` has path and covered; ``files`` path and content.
+    """
+    lines = F.size(F.split("content", r"\r\n|\r|\n"))
+    average = files.where("content is not null").groupBy("path").agg(F.max(F.length("content") / lines).alias("average"))
+    return covered.join(average, "path").select("path", F.floor(F.col("covered") * F.least(F.lit(widest), F.col("average")) * share).cast("long").alias("chars"))
+
+
+def hunk_targets(ranges: DataFrame, spans: DataFrame, *, most: int = 20) -> DataFrame:
+    """commit, id: the symbols that the changed ranges of a commit overlap, tests and documents left out; a commit that touches more than ``most``
+    symbols links to their files instead. ``ranges`` has commit, path, start_line, end_line."""
+    from loamgraph.functions.text import TEST_PATH_WHY
+
+    r = _blocked(ranges.where(~F.col("path").rlike(TEST_PATH_WHY)).select("commit", "path", F.col("start_line").alias("range_start"), F.col("end_line").alias("range_end")).distinct(), "range_start", "range_end")
+    hits = r.join(_blocked(spans.select("path", "start_line", "end_line", "id")), ["path", "block"]).where("start_line <= range_end and end_line >= range_start").select("commit", "path", "id").distinct()
+    counts = hits.groupBy("commit").agg(F.count("*").alias("n"))
+    return hits.join(counts, "commit").select("commit", F.when(F.col("n") > most, F.col("path")).otherwise(F.col("id")).alias("id")).distinct()
+
+
 def grep_groups(hits: DataFrame, spans: DataFrame, degrees: DataFrame, *, cap: int | None = None) -> DataFrame:
     """path, id, n_hits, first_line, in_degree: hits grouped under their innermost span. ``cap`` keeps the first hits in (path, line) order, a report
     feature; then ``dropped`` tells in each row how many hits the report leaves out."""

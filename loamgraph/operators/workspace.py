@@ -82,6 +82,16 @@ def includes(refs: DataFrame, files: DataFrame) -> DataFrame:
     return near.unionByName(far)
 
 
+def federated_rows(rows: DataFrame, child: str = "child", path: str = "path") -> DataFrame:
+    """The rows of all members of a workspace as one, each path below the name of its member and the member dropped."""
+    return rows.withColumn(path, F.concat_ws("/", child, path)).drop(child)
+
+
+def first_with_rows(candidates: list[DataFrame]) -> DataFrame:
+    """The first of several candidates that has any rows, else the last: how the base of a diff is chosen. Each is probed for one row."""
+    return next((c for c in candidates[:-1] if not c.isEmpty()), candidates[-1])
+
+
 def concept_scores(titles: DataFrame, bodies: DataFrame, idf: DataFrame, words: list[str]) -> DataFrame:
     """id, score of concept documents: tf times idf, title three times, body once. Bags have id, term, tf."""
     w = F.broadcast(idf.where(F.col("term").isin(words)).select("term", "idf"))  # as many rows as the query has terms

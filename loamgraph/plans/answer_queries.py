@@ -62,9 +62,9 @@ def k5_covers(r: Relations) -> DataFrame:
     return sinks.covers(sources, r.nodes).select("doc_id", F.array_join("covers", ";").alias("covers"))
 
 
-@query("k7_context", statement(NODES, EDGES, select="SELECT 'node' AS kind, count(*) AS n FROM gn UNION ALL SELECT 'edge', count(*) FROM ge WHERE source IN (SELECT id FROM gn) AND target IN (SELECT id FROM gn)"))
+@query("k7_context", statement(NODES, EDGES, select="SELECT 'node' AS kind, CAST(to_json({'id': id, 'name': name, 'path': path}) AS VARCHAR) AS json FROM gn UNION ALL SELECT 'edge', CAST(to_json({'source': source, 'target': target, 'relation': relation}) AS VARCHAR) FROM ge WHERE source IN (SELECT id FROM gn) AND target IN (SELECT id FROM gn)"))
 def k7_context(r: Relations) -> DataFrame:
-    return sinks.context_json(r.nodes, r.edges).groupBy("kind").agg(F.count("json").alias("n"))
+    return sinks.context_json(r.nodes, r.edges)
 
 
 @query("x24_read_decision", statement(NODES, FILES, _CARDS, select="SELECT f.path, strlen(f.content) >= 16384 AND strlen(coalesce(c.card, '')) >= 64 AND 2 * strlen(coalesce(c.card, '')) <= strlen(f.content) AS outlined FROM gf f LEFT JOIN cd c USING (path) WHERE f.content IS NOT NULL"))
@@ -248,8 +248,19 @@ def j34_value_references(r: Relations) -> DataFrame:
     return r.edges.where("relation = 'references' and confidence <> 'inferred'").join(r.nodes.where("kind in ('function', 'method')").select(F.col("id").alias("target")), "target", "left_semi").select("edge_id")
 
 
-@query("u1_federated", statement(NODES, select="SELECT split_part(path, '/', 1) AS child, count(*) AS n_nodes FROM gn GROUP BY 1 UNION ALL SELECT s.prefix, 0 FROM (SELECT DISTINCT prefix FROM scopes) s WHERE s.prefix NOT IN (SELECT split_part(path, '/', 1) FROM gn)"))
+@query("u1_federated", statement(LINES, select=f"SELECT path, line, left(trim(text), 160) AS text FROM gl WHERE regexp_matches(text, '{G._PATTERN_SQL}')"))
 def u1_federated(r: Relations) -> DataFrame:
+    """A search in every member of the workspace, its paths put below the member again."""
+    from loamgraph.operators.workspace import federated_rows
+
+    own = r.files.where(F.col("path").contains("/")).select(F.substring_index("path", "/", 1).alias("child"), F.expr("substring(path, instr(path, '/') + 1)").alias("path"), "content")
+    key = F.concat_ws("\0", "child", "path")
+    hits = spans.search_files(own.select(key.alias("path"), "content"), G.PATTERN)
+    return federated_rows(hits.select(F.substring_index("path", "\0", 1).alias("child"), F.substring_index("path", "\0", -1).alias("path"), "line", "text"))
+
+
+@query("u1_members", statement(NODES, select="SELECT split_part(path, '/', 1) AS child, count(*) AS n_nodes FROM gn GROUP BY 1 UNION ALL SELECT s.prefix, 0 FROM (SELECT DISTINCT prefix FROM scopes) s WHERE s.prefix NOT IN (SELECT split_part(path, '/', 1) FROM gn)"))
+def u1_members(r: Relations) -> DataFrame:
     """Members of the workspace with the size of their graphs; members without one count 0."""
     present = r.nodes.groupBy(F.substring_index("path", "/", 1).alias("child")).agg(F.count("*").alias("n_nodes"))
     absent = repository.missing_children(r.scopes.select(F.col("prefix").alias("child")), present)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.functions.text import base_name, parent_dir
+from loamgraph.functions.text import SIGNATURE_KEYWORDS, SIGNATURE_MODIFIERS, base_name, parent_dir, short_number, thousands, trim_signature
 from loamgraph.operators import extract, proofs, records, resolve, rollups, textsearch, workspace
 from loamgraph.plans import graph_queries as G
 from loamgraph.plans.sql import EDGES, FILES, LINKS, NODES, TERMS, records_sql, statement
@@ -97,6 +97,25 @@ def a20_parsed_savings(r: Relations) -> DataFrame:
     return rollups.parsed_savings(r.documents.where("n_chars >= 0").select("doc_id", text.alias("text")))
 
 
+@query("s13_diff_base", statement(LINKS, select="SELECT link_id FROM lk WHERE CASE WHEN EXISTS (SELECT 1 FROM lk WHERE level > 8) THEN level > 8 WHEN EXISTS (SELECT 1 FROM lk WHERE level = 4) THEN level = 4 ELSE level = 3 END"))
+def s13_diff_base(r: Relations) -> DataFrame:
+    """Links of a level stand for the files of a diff: against the base, which is empty, of the working tree, of the last commit."""
+    return workspace.first_with_rows([r.links.where(c).select("link_id") for c in ("level > 8", "level = 4", "level = 3")])
+
+
+@query("fn_numbers", "SELECT DISTINCT doc_id, format('{:,}', n_chars) AS full_, CASE WHEN n_chars < 1000 THEN n_chars::VARCHAR WHEN (n_chars + 50) // 100 < 100 THEN ((n_chars + 50) // 100 // 10) || '.' || ((n_chars + 50) // 100 % 10) || 'k' ELSE ((n_chars + 500) // 1000) || 'k' END AS short FROM documents WHERE n_chars >= 0")
+def fn_numbers(r: Relations) -> DataFrame:
+    return r.documents.where("n_chars >= 0").select("doc_id", thousands("n_chars").alias("full_"), short_number("n_chars").alias("short"))
+
+
+_SIG = f"regexp_replace(regexp_replace(trim(signature), '^(?:(?:{'|'.join(SIGNATURE_MODIFIERS)}) \\s*)*', ''), '^(?:{'|'.join(SIGNATURE_KEYWORDS)}) \\s*', '')"
+
+
+@query("fn_signatures", statement(NODES, f"sg AS (SELECT id, name, {_SIG} AS s FROM gn WHERE kind <> 'file')", select="SELECT id, nullif(CASE WHEN starts_with(s, coalesce(name, '')) THEN regexp_replace(ltrim(substr(s, length(coalesce(name, '')) + 1)), '^= ', '') ELSE s END, '') AS rest FROM sg"))
+def fn_signatures(r: Relations) -> DataFrame:
+    return r.symbols.select("id", trim_signature("name", "signature").alias("rest"))
+
+
 # --- workspaces and resolution ---------------------------------------------------------------------------------------
 
 _MARKS = ", ".join(f"'{m}'" for m in workspace.MARKERS)

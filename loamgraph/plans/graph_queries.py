@@ -494,6 +494,27 @@ def j15_overlap_all(r: Relations) -> DataFrame:
     return spans.overlapping_all(_ranges(r), r.symbols)
 
 
+_TEST_WHY = "regexp_matches({p}, '^tests/|/tests/|/test/|(^|/)test_[^/]*$|_test\\.[^/]*$|\\.test\\.[^/]*$|\\.spec\\.[^/]*$|\\.md$')"
+
+
+@query(
+    "j15_hunk_targets",
+    statement(
+        NODES, _SPANS, _RANGES, f"hk AS (SELECT DISTINCT split_part(r.path, '/', 1) AS commit, r.path, s.id FROM rg r JOIN sp s ON s.path = r.path AND s.start_line <= r.re AND s.end_line >= r.rs WHERE NOT {_TEST_WHY.format(p='r.path')})",
+        select="SELECT DISTINCT commit, CASE WHEN count(*) OVER (PARTITION BY commit) > 20 THEN path ELSE id END AS id FROM hk",
+    ),
+)
+def j15_hunk_targets(r: Relations) -> DataFrame:
+    """A prefix stands for a commit, excerpts for its hunks."""
+    ranges = _ranges(r).withColumn("commit", F.substring_index("path", "/", 1))
+    return spans.hunk_targets(ranges, r.symbols)
+
+
+@query("a15_covered_chars", statement(NODES, FILES, _SPANS, "ln AS (SELECT DISTINCT path, unnest(range(start_line, end_line + 1)) AS l FROM sp)", "av AS (SELECT path, max(length(content) / len(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)))) AS a FROM gf WHERE content IS NOT NULL GROUP BY path)", select="SELECT l.path, CAST(floor(count(*) * least(200.0, any_value(a)) * 0.5) AS BIGINT) AS chars FROM ln l JOIN av USING (path) GROUP BY l.path"))
+def a15_covered_chars(r: Relations) -> DataFrame:
+    return spans.covered_chars(spans.covered_lines(r.symbols.select("path", "start_line", "end_line")), r.files)
+
+
 @query("a15_covered_lines", statement(NODES, _SPANS, "ln AS (SELECT DISTINCT path, unnest(range(start_line, end_line + 1)) AS l FROM sp)", select="SELECT path, count(*) AS covered FROM ln GROUP BY path"))
 def a15_covered_lines(r: Relations) -> DataFrame:
     return spans.covered_lines(r.symbols.select("path", "start_line", "end_line"))
@@ -585,6 +606,20 @@ def v1_drift(r: Relations) -> DataFrame:
     return freshness.drift(_last_listing(r), r.files)
 
 
+@query(
+    "v1_racy",
+    statement(
+        FILES, _LAST, "wk AS (SELECT max(mtime_ms) AS w FROM gf)",
+        "bo AS (SELECT coalesce(b.path, n.path) AS path, b.path IS NULL AS new, n.path IS NULL AS gone, b.hash = n.hash AS eq, b.hash IS NULL OR n.hash IS NULL AS blind, b.size IS NOT DISTINCT FROM n.size AND b.mtime_ms IS NOT DISTINCT FROM n.mtime_ms AND NOT coalesce(abs(n.mtime_ms - w) <= 2000, false) AS st FROM bf b FULL JOIN gf n ON n.path = b.path CROSS JOIN wk)",
+        select="SELECT path, CASE WHEN new THEN 'added' WHEN gone THEN 'removed' ELSE 'changed' END AS change FROM bo WHERE new OR gone OR NOT (coalesce(eq, st) OR (st AND blind))",
+    ),
+)
+def v1_racy(r: Relations) -> DataFrame:
+    """Drift where the walk took place at the newest time of any file: what was written within two seconds of it is not trusted by its stat."""
+    walked = r.files.agg(F.max("mtime_ms")).first()[0]
+    return freshness.drift(_last_listing(r), r.files, walked_ms=walked)
+
+
 @query("v2_replay", statement(FILES, _LAST, select="SELECT DISTINCT f.path, CASE WHEN b.hash IS NOT NULL THEN 'reuse' ELSE 'parse' END AS action FROM gf f LEFT JOIN bf b ON b.path = f.path AND b.hash = f.hash"))
 def v2_replay(r: Relations) -> DataFrame:
     return freshness.replay(r.files, _last_listing(r))
@@ -828,6 +863,14 @@ def f9_family_edges(r: Relations) -> DataFrame:
     return r.walk.join(s, "source").join(t, "target").where("sf = tf").select("edge_id")
 
 
+@query("g8_kept_edges", statement(NODES, EDGES, select="SELECT edge_id, source IN (SELECT id FROM gn) AND target IN (SELECT id FROM gn) AS kept FROM ge"))
+def g8_kept_edges(r: Relations) -> DataFrame:
+    """Every edge, and whether a context graph keeps it."""
+    ids = r.nodes.select("id", F.lit(True).alias("known"))
+    both = r.edges.join(ids.select(F.col("id").alias("source"), F.col("known").alias("a")), "source", "left").join(ids.select(F.col("id").alias("target"), F.col("known").alias("b")), "target", "left")
+    return both.select("edge_id", F.coalesce(F.col("a") & F.col("b"), F.lit(False)).alias("kept"))
+
+
 @query("g8_context_graph", statement(NODES, EDGES, select="SELECT relation, count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS dropped FROM (SELECT relation, source IN (SELECT id FROM gn) AND target IN (SELECT id FROM gn) AS ok FROM ge) GROUP BY relation"))
 def g8_context_graph(r: Relations) -> DataFrame:
     """Edges that a context graph keeps, and those it drops because an end dangles."""

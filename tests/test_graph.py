@@ -279,3 +279,13 @@ def test_index_is_kept_up_to_date(spark, rows, tmp_path):
     assert {r.id for r in index.docs().collect()} == {"n1", "n2", "n3", "n4", "new"}
     index.refresh(df.limit(0))
     assert index.lexical("cache").count() == 0
+
+
+def test_labels_numbers_signatures(spark):
+    label = lambda t: one(spark, text.short_label(F.lit(t)))
+    assert label("Concept: Short name") == "Short name" and label("Loading rules for everything that is read") == "Loading rules"
+    assert label("a for the one and only very long label") == "a for the one and only very…" and label("x" * 40) == "x" * 30 + "…" and label("Cache of the session: what remains after it") == "Cache of the session: what…"
+    assert [one(spark, text.short_number(F.lit(n))) for n in (7, 999, 1000, 1949, 9949, 9950, 84_499)] == ["7", "999", "1.0k", "1.9k", "9.9k", "10k", "84k"]
+    assert one(spark, text.thousands(F.lit(1234567))) == "1,234,567"
+    sig = lambda n, s: one(spark, text.trim_signature(F.lit(n), F.lit(s)))
+    assert sig("f", "export async function f(a: string): void") == "(a: string): void" and sig("W", "interface W") is None and sig("x", "const x = (a) => 1") == "(a) => 1"
