@@ -880,7 +880,18 @@ def g8_context_graph(r: Relations) -> DataFrame:
     return both.groupBy("relation").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
 
 
-@query("redacted_documents")
+# RE2 has no look-around: the statement holds the rules for terminal codes, control characters, key blocks, addresses, values of key names
+# and base64 runs, which are taken apart from the rest as a list.
+_KEYS = r"((?:^|[^A-Za-z0-9_])[A-Za-z0-9_]*(?:password|passwd|secret|token|api_key|apikey|auth|accountkey)[A-Za-z0-9_]*[\"'']?\s*"
+_PLAIN = r"regexp_replace(replace(regexp_replace(text, '\x1B(?:\[[^\x40-\x7E]*[\x40-\x7E]?|\][^\x07\x1B]*[\x07\x1B]?)', '', 'g'), chr(9), ' '), '[\x{0}-\x{1F}\x{7F}-\x{9F}]', '', 'g')"
+_NAMED = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(plain, '-----BEGIN .*?(?:-----END (?:.*?-----|.*$)|$)', '[redacted]', 'g'), '(?i)([a-z][a-z0-9+.-]*://)[^/?#\s]*@', '\1', 'g'),
+  '(?i){_KEYS}[:=]\s*)(?:"[^"]*(?:"|$)|''[^'']*(?:''|$))', '\1[redacted]', 'g'),
+  '(?i){_KEYS}=\s+)[^\s;,"''\[][^\s;,]*', '\1[redacted]', 'g'), '(?i){_KEYS}=)[^\s;,"''\[=>~][^\s;,]*', '\1[redacted]', 'g')"""
+_REDACTED = rf"""array_to_string(list_transform(regexp_extract_all({_NAMED}, '[A-Za-z0-9+/=]+|[^A-Za-z0-9+/=]+'),
+  lambda x: CASE WHEN length(x) >= 40 AND regexp_full_match(x, '[A-Za-z0-9+/=]+') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[+/=]') THEN '[redacted]' ELSE x END), '')"""
+
+
+@query("redacted_documents", f"WITH p AS (SELECT DISTINCT doc_id, {_PLAIN} AS plain FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, plain, {_REDACTED} AS redacted FROM p) SELECT doc_id, redacted FROM r WHERE plain <> redacted")
 def redacted_documents(r: Relations) -> DataFrame:
     """Documents whose text holds a secret, with the secret taken out."""
     from loamgraph.functions.text import redact, strip_controls
