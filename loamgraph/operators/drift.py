@@ -239,7 +239,7 @@ def consistent_table(records: DataFrame) -> DataFrame:
     """One row per readable record with the canonical fields in their table types, and ``extras`` (JSON of all other fields).
 
     Each record is routed by the steps of its fingerprint (:func:`migration_steps`). Rename: the first present of a field's names, the canonical one first. Default: null. Cast: a value that cannot take
-    the table type, such as an object in a number's place, is null in its column and kept in ``extras`` under its own name; a single string for a list becomes a list of one.
+    the table type, such as an object in a number's place, is null in its column and kept in ``extras`` under its own name, and so is one that the cast bends, such as a decimal in an integer's place (cut to its whole part); a single string for a list becomes a list of one.
     """
     prints = materialize(fingerprints(records).select("fingerprint", "fields", "record_id"), "fingerprints")
     routes = migration_steps(schema_registry(prints)).select("fingerprint", "origin")
@@ -254,6 +254,8 @@ def consistent_table(records: DataFrame) -> DataFrame:
             value = F.coalesce(value, F.when(F.schema_of_variant(raw) == "STRING", F.array(F.try_variant_get(raw, "$", "string"))))
         elif sql_type in ("bigint", "double"):
             value = F.coalesce(value, F.try_variant_get(raw, "$", "string").try_cast(sql_type))
+        elif sql_type == "string":
+            value = F.when(~F.schema_of_variant(raw).rlike("^(ARRAY|OBJECT)"), value)
         cols.append(value.alias(re.sub(r"(?<=[a-z])([A-Z])", lambda m: "_" + m[1].lower(), name)))
 
     def left_over(k: Column, v: Column) -> Column:

@@ -44,4 +44,4 @@ def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_transitions": p2_transitions, "p4_found": p4_found, "p4_table": p4_table, "p4_versions": p4_versions}
-ORACLE = {"p1_found": oracle_core.P1_FOUND, "p2_found": oracle_core.P2_FOUND, "p2_counts": oracle_core.P2_COUNTS, "p2_transitions": oracle_core.P2_TRANSITIONS, "p4_found": oracle_core.P4_FOUND, "p4_versions": oracle_core.P4_VERSIONS}
+ORACLE = {"p1_found": oracle_core.P1_FOUND, "p2_found": oracle_core.P2_FOUND, "p2_counts": oracle_core.P2_COUNTS, "p2_transitions": oracle_core.P2_TRANSITIONS, "p4_found": oracle_core.P4_FOUND, "p4_versions": oracle_core.P4_VERSIONS, "p4_table": oracle_core.P4_TABLE}

@@ -84,3 +84,41 @@ og AS (SELECT f.stream, f.n, k.meaning, min(p.place) AS place, arg_min(k.kind, p
 st AS (SELECT f.stream, f.n, sum(CASE WHEN o.place IS NULL THEN 1 WHEN o.kind IS NULL THEN o.place ELSE o.place + (o.kind <> w.want)::INT END)::INT AS n_steps FROM fs f CROSS JOIN wanted w LEFT JOIN og o ON o.stream = f.stream AND o.n = f.n AND o.meaning = w.canon GROUP BY ALL)
 SELECT f.stream, o.record_id AS first_record_id, o.written_at AS first_written_at, f.n_records, s.n_steps FROM fs f JOIN ok o ON o.stream = f.stream AND o.n = f.n JOIN st s ON s.stream = f.stream AND s.n = f.n
 """
+
+
+def _table_sql() -> str:
+    """The one table: of each canonical field the first of its names that a payload has, cast; what is left over, or cannot be cast, as JSON by name."""
+    import re
+
+    cols, lost = [], []
+    for name, kind in TABLE_TYPES.items():
+        names = [name, *RENAMES[name]]
+        present = f"list_filter([{', '.join(repr(n) for n in names)}], lambda x: list_contains(keys, x))[1]"
+        raw = f"json_extract(payload, '$.\"' || {present} || '\"')"
+        text, typ = f"json_extract_string(payload, '$.\"' || {present} || '\"')", f"json_type(payload, '$.\"' || {present} || '\"')"
+        scalar = f"{typ} NOT IN ('ARRAY', 'OBJECT', 'NULL')"
+        if kind == "bigint":
+            value = f"CASE WHEN {typ} = 'BOOLEAN' THEN ({text} = 'true')::BIGINT WHEN {typ} = 'DOUBLE' THEN trunc(TRY_CAST({text} AS DOUBLE))::BIGINT WHEN {scalar} THEN TRY_CAST({text} AS BIGINT) END"
+        elif kind == "double":
+            value = f"CASE WHEN {typ} = 'BOOLEAN' THEN ({text} = 'true')::DOUBLE WHEN {scalar} THEN TRY_CAST({text} AS DOUBLE) END"
+        elif kind == "boolean":
+            value = f"CASE WHEN {typ} IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN TRY_CAST({text} AS DOUBLE) <> 0 WHEN {scalar} THEN TRY_CAST({text} AS BOOLEAN) END"
+        elif kind == "string":
+            value = f"CASE WHEN {scalar} THEN {text} END"
+        else:
+            value = f"CASE WHEN {typ} = 'ARRAY' THEN CAST(from_json({raw}, '[\"VARCHAR\"]') AS VARCHAR[]) WHEN {typ} = 'VARCHAR' THEN [{text}] END"
+        column = re.sub(r"(?<=[a-z])([A-Z])", lambda m: "_" + m[1].lower(), name)
+        cols.append(f"{value} AS {column}")
+        bent = {"bigint": f" OR {typ} IN ('DOUBLE', 'BOOLEAN')", "double": f" OR {typ} = 'BOOLEAN'"}.get(kind, "")  # cast, but not without a loss
+        lost.append(f"WHEN k = {present} THEN {typ} <> 'NULL' AND ({column} IS NULL{bent})")
+    return f"""
+WITH ok AS (SELECT *, json_keys(payload) AS keys FROM (SELECT DISTINCT record_id, stream, prefix, written_at, payload FROM build_records WHERE stream IS NOT NULL AND record_id IS NOT NULL) WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+tb AS (SELECT *, {", ".join(cols)} FROM ok),
+ex AS (SELECT record_id, string_agg('"' || k || '":' || CASE WHEN json_type(payload, '$."' || k || '"') = 'OBJECT'
+  THEN '{{' || array_to_string(list_transform(list_sort(json_keys(payload, '$."' || k || '"')), lambda n: '"' || n || '":' || json_extract(payload, '$."' || k || '"."' || n || '"')::VARCHAR), ',') || '}}'
+  ELSE json_extract(payload, '$."' || k || '"')::VARCHAR END, ',' ORDER BY k) AS x FROM (SELECT *, unnest(keys) AS k FROM tb) WHERE CASE {" ".join(lost)} ELSE true END GROUP BY record_id)
+SELECT record_id, stream, prefix, written_at, {", ".join(c.rsplit(" AS ", 1)[1] for c in cols)}, '{{' || coalesce(x, '') || '}}' AS extras FROM tb LEFT JOIN ex USING (record_id)
+"""
+
+
+P4_TABLE = _table_sql()

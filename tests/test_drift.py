@@ -87,3 +87,8 @@ def test_versions_and_their_steps(spark):
     assert [x for x in got[2].steps if not x.startswith("default")] == ["rename schema_version to ver", "rename ver to version", "cast version from string to integer"]
     assert "default files to null" in got[1].steps and not [x for x in got[1].steps if x.startswith(("rename", "cast"))]
     assert D.schema_versions(records(spark, p).limit(0)).count() == 0
+
+
+def test_an_object_is_no_string(spark, rows):
+    got = rows(D.consistent_table(records(spark, ['{"extractor":{"name":"native"}}', '{"extractor":"native"}'])), "extractor", "extras")
+    assert got == [("native", "{}"), (None, '{"extractor":{"name":"native"}}')]
