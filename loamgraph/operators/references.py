@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions.keys import path_key
 from loamgraph.operators.incremental import VersionedTarget
-from loamgraph.session import scratch_path, shuffle_partitions
+from loamgraph.session import materialize, scratch_path, shuffle_partitions
 
 PARENT = ["row"]
 REFERRING = ["ref_table", "ref_id"]
@@ -97,15 +97,21 @@ class OrphanState:
             return rows if rows is None else rows.select(*ids, "now")
         return rows.groupBy(*ids).agg(F.max("now").alias("now"))
 
-    def _stage(self, part: str, batch: DataFrame, ids: list[str]) -> tuple[str, bool]:
-        """Write the rows of a batch that say something new, with what they said before; whether any did say something before."""
+    def _stage(self, part: str, batch: DataFrame, ids: list[str]) -> tuple[str, DataFrame | None]:
+        """Write the rows of a batch that the state does not hold in these words; of those that say otherwise than before also what was said.
+
+        Rows meet by their keys and a hash of what they say, so what is held is not moved as a whole.
+        """
         content = [c for c in batch.columns if c not in ids]
         new, held = _newest(batch, ids, content), self._rows(part, ids)
         if held is None:
-            return self.target.stage(part, new.withColumn("was", F.lit(None).cast(new.schema["now"].dataType))), False
-        both = new.join(held.withColumnRenamed("now", "was"), ids, "left")
-        folder = self.target.stage(part, both.where(F.col("was").isNull() | (F.col("now") > F.col("was"))))
-        return folder, not self._read(folder).where("was is not null").isEmpty()
+            return self.target.stage(part, new.withColumn("known", F.lit(False))), None
+        both = new.join(held.select(*ids, F.xxhash64("now").alias("_old")), ids, "left").where(F.col("_old").isNull() | (F.col("_old") != F.xxhash64("now")))
+        folder = self.target.stage(part, both.select(*ids, "now", F.col("_old").isNotNull().alias("known")))
+        again = self._read(folder).where("known")
+        if again.isEmpty():
+            return folder, None
+        return folder, materialize(again.select(*ids, "now").join(held.withColumnRenamed("now", "was"), ids).where(F.col("now") > F.col("was")), "restated")
 
     def _read(self, folder: str) -> DataFrame:
         return self.target.spark.read.parquet(f"{self.target.root}/{folder}")
@@ -116,11 +122,10 @@ class OrphanState:
         Rows may be late, repeated, or state again what an earlier batch said: splitting and repeating the input in any way gives the same state.
         """
         (p, p_again), (r, r_again) = self._stage("parents", parents, PARENT), self._stage("refs", refs, REFERRING)
-        steps = _parent_steps(self._read(p), "now", 1).unionByName(_reference_steps(self._read(r), "now", 1))
-        if p_again:
-            steps = steps.unionByName(_parent_steps(self._read(p).where("was is not null"), "was", -1))
-        if r_again:
-            steps = steps.unionByName(_reference_steps(self._read(r), "was", -1))
+        steps = _parent_steps(self._read(p).where("not known"), "now", 1).unionByName(_reference_steps(self._read(r).where("not known"), "now", 1))
+        for said, to_steps in ((p_again, _parent_steps), (r_again, _reference_steps)):
+            if said is not None:  # the later statement in place of the earlier one
+                steps = steps.unionByName(to_steps(said, "now", 1)).unionByName(to_steps(said, "was", -1))
         log = steps.groupBy(*GROUP).agg(F.sum("delta").alias("delta"), F.sum("n_refs").alias("n_refs")).where("delta <> 0 or n_refs <> 0")
         staged = self.target.stage("log", log)
         log, before, waiting = self._read(staged), self.target.read_all("log"), self.target.read("pending")
@@ -129,7 +134,7 @@ class OrphanState:
         else:  # only the keys of the batch are summed up again
             touched = log.select("key").distinct()
             pending = pending_of(live_sums(before.join(touched, "key", "left_semi").unionByName(log))).unionByName(waiting.join(touched, "key", "left_anti"))
-        return self.target.publish({"parents": p, "refs": r, "log": staged, "pending": pending}, {"restates_parents": p_again, "restates_refs": r_again})
+        return self.target.publish({"parents": p, "refs": r, "log": staged, "pending": pending}, {"restates_parents": p_again is not None, "restates_refs": r_again is not None})
 
     def sums(self) -> DataFrame:
         """The summed log: see :func:`live_sums`."""
@@ -179,7 +184,7 @@ def replayed(edges: DataFrame, record_links: DataFrame, nodes: DataFrame, root:
     """The state of the whole code graph, taken in as it came: first all that was loaded up to the middle of the time that the edges
     span, when later removals were not known yet, then what has come since, with those removals stated again."""
     state = OrphanState(edges.sparkSession, root)
-    span = edges.agg(F.min("seen_at").alias("a"), F.max("seen_at").alias("b")).select(F.expr("timestampadd(SECOND, int(timestampdiff(SECOND, a, b) / 2), a)").cast("timestamp_ntz").alias("t")).first()[0]
+    span = edges.agg(F.min("seen_at").alias("a"), F.max("seen_at").alias("b")).select(F.expr("timestampadd(SECOND, int(least(2000000000L, timestampdiff(SECOND, a, b) div 2)), a)").cast("timestamp_ntz").alias("t")).first()[0]
     refs = lambda e, k: graph_references(e, k)
     if span is None:
         state.advance(parent_rows(nodes), refs(edges, record_links))
