@@ -91,9 +91,9 @@ def parse_depth(text: str | None) -> int | None:
         raise ValueError(f"depth must be a number or all: {text}") from None
 
 
-# Phrases that ask for callers and for callees; letter case counts.
+# Phrases that ask for callers and for callees; letter case counts. A qualified name is one word here, too.
 _INCOMING = re.compile(r"(?a:\b)(?:caller|callers|calls?\s+into|who\s+calls|what\s+calls|called\s+by|used\s+by|uses)(?a:\b)")
-_OUTGOING = re.compile(r"(?a:\b)(?:callee|callees|what\s+does\s+(?a:\w)+\s+call|calls\s+what|imports?|depends\s+on)(?a:\b)")
+_OUTGOING = re.compile(r"(?a:\b)(?:callee|callees|what\s+does\s+(?a:[\w.])+\s+call|calls\s+what|imports?|depends\s+on)(?a:\b)")
 
 
 def structural_intent(query: str) -> tuple[str, list[str]] | None:
