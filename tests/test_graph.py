@@ -193,6 +193,61 @@ def test_topic_links_find_the_odd_record(spark):
     assert [(r["file"], r["record"]) for r in got] == [("f", "r7")]
 
 
+def shuffled(spark, run):
+    """Rows that the stages of ``run`` wrote for a shuffle."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = total()
+    run()
+    return sum(n for k, n in total().items() if k not in before)
+
+
+def test_topic_links_shuffle_no_pairs(spark):
+    rnd = random.Random(5)
+    recs = spark.createDataFrame([(k, f"w{t}", 1 + t % 3) for k in range(400) for t in rnd.sample(range(40), 8)], "id long, term string, tf long")
+    files = spark.createDataFrame([(f"f{k}", f"w{t}", 1) for k in range(300) for t in rnd.sample(range(40), 10)], "id string, term string, tf long")
+    assert shuffled(spark, lambda: textsearch.topic_links(recs, files, z_min=1.0).collect()) < 300 * 400 / 4
+
+
+def test_topics_equal_to_six_decimals_go_by_record(spark):
+    # the text of record 5 is one word in a billion longer than that of record 90, so its score is less, but not to six decimals of z
+    recs = [(k, "common", 1) for k in range(200)] + [(k, "ledger", 40) for k in (5, 90, 120)] + [(5, "rest", 1_000_000_001), (90, "rest", 1_000_000_000), (120, "rest", 999_999_999)]
+    recs = spark.createDataFrame(recs, "id long, term string, tf long")
+    files = spark.createDataFrame([("f", "ledger", 3), ("f", "common", 1), ("g", "other", 1)], "id string, term string, tf long")
+    got = textsearch.topic_links(recs, files).collect()
+    assert [r["record"] for r in sorted(got, key=lambda r: r["record"])] == [5, 90] and len({r["z"] for r in got}) == 1
+
+
+def test_topics_in_blocks_of_records(spark):
+    from pyspark.sql.types import LongType
+
+    from loamgraph.operators import products
+
+    rnd = random.Random(7)
+    posts = spark.createDataFrame([(k, f"w{t}", rnd.random()) for k in range(90) for t in rnd.sample(range(12), 3)], "key long, term string, w double")
+    files = spark.createDataFrame([(f"f{k}", [f"w{t}" for t in rnd.sample(range(12), 4)] + ["unseen"], [k]) for k in range(20)], "file string, terms array<string>, known array<long>")
+    written = products.write_postings(posts, "posts")
+    one, many = ({(r["file"], r["record"]): (r["score"], r["z"]) for r in products.outstanding(files, written, LongType(), z_min=1.0, per_file=3, **x).collect()} for x in ({}, {"limit": 20, "cells": 200}))
+    assert len(written) > 1 and len(one) == 60 and one.keys() == many.keys() and all(f != f"f{k}" for f, k in one)
+    assert all(abs(a - b) < 1e-5 for k in one for a, b in zip(one[k], many[k]))
+
+
+def test_rounding_is_that_of_spark(spark):
+    import numpy as np
+
+    from loamgraph.operators import products
+
+    rnd = random.Random(9)
+    values = [rnd.random() * 10 ** rnd.randint(-7, 8) for _ in range(2000)] + [round(rnd.random() * 100, 6) + 5e-7 for _ in range(2000)] + [1.0000005, 2.5e-6, 4.5]
+    want = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(F.round("v", 6)).collect()]
+    assert products.round6(np.array(values)).tolist() == want
+
+
 def test_topics_of_all_records_without_exact_links(spark):
     import re
     from types import SimpleNamespace
