@@ -350,8 +350,9 @@ def x19_record_topics(r: Relations) -> DataFrame:
 
     docs = r.documents.join(record_entries(r.documents).select("doc_id"), "doc_id", "left_semi")
     docs = materialize(docs.select("doc_id", "path", "text"), "records")  # read for the weights, their statistics and the exact links
-    known = exact_files(docs, r.nodes).select(F.col("path").alias("file"), F.col("doc_id").alias("record"))
-    files = term_bag(r.nodes.where("summary is not null"), "path", "summary")
+    nodes = materialize(r.nodes.select("id", "kind", "name", "path", "summary"), "nodes")  # read for ids, names, paths and summaries
+    known = exact_files(docs, nodes).select(F.col("path").alias("file"), F.col("doc_id").alias("record"))
+    files = term_bag(nodes.where("summary is not null"), "path", "summary")
     return textsearch.topic_links(term_bag(docs, "doc_id", "text"), files, known=known).select("file", "record", r6("score").alias("score"), r6("z").alias("z"))
 
 

@@ -214,6 +214,22 @@ def test_topic_links_shuffle_no_pairs(spark):
     assert shuffled(spark, lambda: textsearch.topic_links(recs, files, z_min=1.0).collect()) < 300 * 400 / 4
 
 
+def test_topics_of_all_records_shuffle_no_pairs(spark):
+    from types import SimpleNamespace
+
+    from loamgraph.plans import answer_queries
+
+    rnd = random.Random(6)
+    say = lambda n: " ".join(rnd.sample([f"word{k}" for k in range(40)], n))
+    docs = spark.createDataFrame([(k, f"adr/{k}.md", f"Date: 2025-01-01 {say(10)}") for k in range(400)], "doc_id long, path string, text string")
+    nodes = spark.createDataFrame([(f"src/f{k}.py#g", "function", f"g{k}", f"src/f{k}.py", say(10)) for k in range(400)], "id string, kind string, name string, path string, summary string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are larger
+    try:
+        assert shuffled(spark, lambda: answer_queries.x19_record_topics(SimpleNamespace(documents=docs, nodes=nodes)).collect()) < 400 * 400 / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_topics_equal_to_six_decimals_go_by_record(spark):
     # the text of record 5 is one word in a billion longer than that of record 90, so its score is less, but not to six decimals of z
     recs = [(k, "common", 1) for k in range(200)] + [(k, "ledger", 40) for k in (5, 90, 120)] + [(5, "rest", 1_000_000_001), (90, "rest", 1_000_000_000), (120, "rest", 999_999_999)]
