@@ -325,6 +325,24 @@ def test_texts_as_queries_equal_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
+def test_texts_as_queries_shuffle_no_pairs(spark):
+    from types import SimpleNamespace
+
+    from loamgraph.plans import graph_queries
+
+    rnd = random.Random(4)
+    words = [f"word{k}" for k in range(30)]
+    terms = spark.createDataFrame([(f"n{k}", "body", t, 1) for k in range(600) for t in rnd.sample(words, 5)], "id string, field string, term string, tf long")
+    docs = spark.createDataFrame([(50 * k, " ".join(rnd.sample(words, 12))) for k in range(400)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are larger
+    try:
+        n = []
+        assert shuffled(spark, lambda: n.append(graph_queries.x20_text_links(SimpleNamespace(documents=docs, terms=terms)).count())) < 600 * 400 / 4
+        assert n[0] > 600 * 400 / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_ownership_decays(spark):
     commits = spark.createDataFrame([("a", "x", 1, "2025-01-01"), ("a", "x", 1, "2025-01-01"), ("a", "y", 2, "2024-09-03")], "area string, person string, sha long, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r["person"]: r["score"] for r in rollups.ownership(commits, now="2025-01-01", least=0.0).collect()}
