@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 # The commonest words of each language, and its letters beside the Latin alphabet.
 COMMON_WORDS = {
@@ -13,13 +12,17 @@ COMMON_WORDS = {
     "es": set("de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien tiempo mismo ese ahora cada e vida otro después te otros aunque esa eso hace otra tan durante siempre nadie antes quien cual nada poco sea hacía basta queda".split()),
 }
 _ALL_COMMON = frozenset().union(*COMMON_WORDS.values())
+# What a common word adds to the counts of a token (see _Tokens): one common word, and one in each language that has it.
+_COMMON = {w: (1 << 32) + sum((w in known) << 32 * k for k, known in enumerate(COMMON_WORDS.values(), 8)) for w in _ALL_COMMON}
 
 _LINE = re.compile(r"\r\n?|[\n\v\f\x85\u2028\u2029]")
 _WORD = re.compile(r"(?<!\d)[^\W\d_]+(?:['’][^\W\d_]+)*(?!\d)")  # not the letters of a number such as 3f
 _OUTER = ".,;:!?…\"'”»)]([«“‘’-–—"
 _SENTENCE = re.compile(r"[.!?…:;][\"'”»)\]]*\s+")
 _CLAUSE = re.compile(r"[,;:|/\t()\[\]{}<>=•·→]|\s(?:[-–—]+\s|\s\s+)")
+_MARK = re.compile(r"[,;:|/()\[\]{}<>=•·→]")  # the clause marks that are no white space
 _LEAD = re.compile(r"^(?:\s*>)+\s?|^\s*(?:[-*+•→◦▪]|\d{1,3}[.)]|\(?[a-z]\))\s+|^\s*[A-Z][A-Za-z]{0,11}:\s+(?=\S+\s\S+\s\S+)")
+_LOWER = frozenset("abcdefghijklmnopqrstuvwxyz")  # what begins so has a lead only as in "a) "
 _NO_PROSE = re.compile(
     r"\s*(?://|/\*|\*/|\*\s|\*$|#!|@@|[+-]{1,3}(?=\S)|@\w|\$\s|>>>\s|at\s+[\w.$]+\(|<[/!a-zA-Z]|"
     r"(?:def|class|import|from|return|if|for|while|func|fn|pub|use|let|const|var|export|function|package|public|private|static)\b.*[:;{}()=]\s*$|"  # code
@@ -35,16 +38,55 @@ _BLANK = re.compile(r"[\s\u200b-\u200f\u2060\ufeff]*\Z")
 _DIGITS = re.compile(r"\d+")
 WRAP = 38  # a line of at least this length and five words may go on in the next
 
+KEPT_TOKENS, KEPT_LENGTH = 1 << 16, 128  # so many tokens are remembered, up to this length
+_COUNT = (1 << 32) - 1  # a text has fewer characters
+
+
+class _Tokens(dict):
+    """The counts of a token between white space, by token: those of a text, or a part of it, are the sums over its tokens.
+
+    A count takes 32 bits of the number: words, common words, 1 for a clause mark inside, 1 for dashes alone, characters, letters, digits, 1 for
+    letters alone within punctuation, and the common words of each language. No word reaches beyond white space and neither does the case of a letter,
+    so a token counts the same in every text, and one seen before is not scanned again.
+    """
+
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        plain = low.isalpha()
+        words = (low,) if plain else _WORD.findall(low)
+        packed = len(words) | len(token) << 128 | sum(map(len, words)) << 160 | token.replace("'", "").replace("’", "").strip(_OUTER).isalpha() << 224
+        if not plain:
+            packed |= (_MARK.search(token) is not None) << 64 | (not token.strip("-–—")) << 96 | sum(map(len, _DIGITS.findall(token))) << 192
+        for word in words:
+            if word in _COMMON:
+                packed += _COMMON[word]
+        if len(token) <= KEPT_LENGTH:
+            if len(self) >= KEPT_TOKENS:
+                self.clear()
+            self[token] = packed
+        return packed
+
+
+_TOKENS = _Tokens()
+_counts = _TOKENS.__getitem__
+
+
+def _lines(text: str) -> list[str]:
+    """The lines of a text; empty ones at its end may be missing."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text:  # separators to Python, no line ends here
+        return _LINE.split(text)
+    return text.splitlines()
+
 
 def _is_row(line: str) -> bool:
     """Whether a line is a table row in columns of spaces: two wide gaps or more and few words."""
     return len(line.split()) <= 8 and len(_GAP.findall(line)) >= 2
 
 
-def _units(text: str):
+def _units(lines: list[str]):
     """Paragraph pieces as (text, is_prose_like): wrapped lines joined, list items, table rows, log lines and code apart."""
     piece, fenced, quoted = "", False, False
-    for line in _LINE.split(text):
+    for line in lines:
         bare = line.strip()
         if bare.startswith(("```", "~~~")):
             if piece:
@@ -57,7 +99,7 @@ def _units(text: str):
                 yield piece, True
             piece = ""
             continue
-        quote = _DOCSTRING.match(bare)
+        quote = bare[0] in "rRuU\"'" and _DOCSTRING.match(bare)
         if quote:  # a docstring belongs to code
             quoted = not quoted and bare.count(quote[1]) < 2
         if fenced or quote or quoted or bare[-1] in "{}" or bare[-1] == ";" and (_OPERATORS.search(bare) or bare.count(" ") < 4) or line.count("\t") > 2 or "   " in bare and _is_row(bare) or _NO_PROSE.match(line) or bare.count(",") > 2 and _CELLS.match(line):
@@ -66,7 +108,7 @@ def _units(text: str):
             piece = ""
             yield bare, False
             continue
-        m = _LEAD.match(line)
+        size, m = len(bare), None if bare[0] in _LOWER and bare[1:2] != ")" else _LEAD.match(line)
         if m:
             bare = line[m.end() :].strip() or bare
         if piece and m is None or piece and line.lstrip().startswith(">"):
@@ -75,24 +117,29 @@ def _units(text: str):
             if piece:
                 yield piece, True
             piece = bare
-        if len(line) < WRAP or len(line.strip()) < WRAP or line.count(" ") < 4:
+        if size < WRAP or line.count(" ") < 4:
             yield piece, True
             piece = ""
     if piece:
         yield piece, True
 
 
-def _is_sentence(part: str, words: list[str], ended: bool) -> bool:
-    n = len(words)
-    if n < (5 if ended else 7):
+def _is_sentence(part: str, weight: int, tokens: list[str], counts: int) -> bool:
+    """Whether a part is a sentence: its characters without spaces, its tokens and the sum of their counts are given."""
+    n, ended = counts & _COUNT, part.rstrip("\"'”»)] ")[-1:] in (".", "!", "?", "…", ":", ";")
+    if n < (5 if ended else 7) or (counts >> 32 & _COUNT) < 0.22 * n:
         return False
-    if sum(map(_ALL_COMMON.__contains__, words)) < 0.22 * n:
-        return False
-    clauses = [len(c.split()) for c in _CLAUSE.split(part)]
-    longest, filled = max(clauses), sum(map(bool, clauses))
+    if counts >> 96 & _COUNT or counts >> 128 & _COUNT != weight or "   " in part:  # dashes that stand alone, white space beside spaces, gaps
+        clauses = _CLAUSE.split(part)
+    elif counts >> 64 & _COUNT:
+        clauses = _MARK.split(part)
+    else:  # one clause
+        return len(tokens) >= 5 or len(tokens) == 4 and ended and n <= 12
+    sizes = [len(c.split()) for c in clauses]
+    longest, filled = max(sizes), sum(map(bool, sizes))
     if filled >= 4 and n < 3.2 * filled:  # a list on one line, unless stray tokens cut a sentence up
-        clauses = [len(_WORD.findall(c)) for c in _CLAUSE.split(_NOISE.sub(" ", part))]
-        longest, filled = max(clauses), sum(c > 0 for c in clauses)
+        sizes = [len(_WORD.findall(c)) for c in _CLAUSE.split(_NOISE.sub(" ", part))]
+        longest, filled = max(sizes), sum(c > 0 for c in sizes)
         if filled >= 4 and n < 2.8 * filled:
             return False
     return longest >= 5 or longest >= 4 and ended and n <= 12
@@ -100,21 +147,25 @@ def _is_sentence(part: str, words: list[str], ended: bool) -> bool:
 
 def sentence_chars(text: str) -> tuple[int, int]:
     """(characters in running sentences, all characters), white space apart."""
+    return _sentence_chars(_lines(text))
+
+
+def _sentence_chars(lines: list[str]) -> tuple[int, int]:
     inside = total = 0
-    for unit, prose in _units(text):
-        size = len(unit) - unit.count(" ")
-        total += size
+    for unit, prose in _units(lines):
+        total += len(unit) - unit.count(" ")
         if not prose:
             continue
         kept = short = at = 0
         ends = [m.end() for m in _SENTENCE.finditer(unit)]
         for end in [*ends, len(unit)]:
             part, at = unit[at:end].rstrip(), end
-            words = _WORD.findall(part.lower())
-            weight = len(part) - part.count(" ")
-            if _is_sentence(part, words, part.rstrip("\"'”»)] ")[-1:] in (".", "!", "?", "…", ":", ";")):
+            tokens = part.split()
+            counts = sum(map(_counts, tokens))
+            n, weight = counts & _COUNT, len(part) - part.count(" ")
+            if n >= 5 and _is_sentence(part, weight, tokens, counts):
                 kept += weight
-            elif 0 < len(words) < 7:
+            elif 0 < n < 7:
                 short += weight
         # a short sentence among others belongs to them
         inside += kept + (short if kept > 2 * short else 0)
@@ -131,33 +182,24 @@ def statistics(text: str | None) -> tuple[str, list[float]] | None:
     """
     if not text or _BLANK.match(text):
         return None
-    words = _WORD.findall(text.lower())
-    n = len(words)
-    counts, common = dict.fromkeys(COMMON_WORDS, 0), 0
-    for word, times in Counter(words).items():
-        if word in _ALL_COMMON:
-            common += times
-            for g, known in COMMON_WORDS.items():
-                if word in known:
-                    counts[g] += times
-    lang = max(counts, key=counts.get)
-    if counts[lang] < 0.05 * n or not n:
-        lang = "other"
-    lines = [x for x in (y.strip() for y in _LINE.split(text)) if x]
     tokens = text.split()
-    solid = sum(map(len, tokens)) or 1
-    letters, digits = sum(map(len, words)), sum(map(len, _DIGITS.findall(text)))
-    inside, total = sentence_chars(text)
+    counts = sum(map(_counts, tokens))
+    n, common, _, _, solid, letters, digits, alphabetic, *spoken = (counts >> 32 * k & _COUNT for k in range(8 + len(COMMON_WORDS)))
+    most = max(spoken)
+    lang = list(COMMON_WORDS)[spoken.index(most)] if n and most >= 0.05 * n else "other"
+    raw = _lines(text)
+    lines = [x for x in (y.strip() for y in raw) if x]
+    inside, total = _sentence_chars(raw)
     return lang, [
         float(len(text)),
         float(n),
         letters / n if n else 0.0,
         max(0, solid - letters - digits) / solid,
         digits / solid,
-        sum(x[-1] in ".!?…:;\"'”»)" for x in lines) / len(lines) if lines else 0.0,
+        sum(x[-1] in ".!?…:;\"'”»)" for x in lines) / len(lines),
         common / n if n else 0.0,
         inside / total if total else 0.0,
-        1 - len(set(lines)) / len(lines) if lines else 0.0,
-        sum(t.strip(_OUTER).isalpha() for t in text.replace("'", "").replace("’", "").split()) / len(tokens) if tokens else 0.0,
-        n / len(lines) if lines else 0.0,
+        1 - len(set(lines)) / len(lines),
+        alphabetic / len(tokens),
+        n / len(lines),
     ]

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from loamgraph.llm import packing as P
+from loamgraph.llm import prose
 from loamgraph.llm import quality as Q
 from loamgraph.llm import tokens as T
 from loamgraph.llm.prose import sentence_chars, statistics
@@ -141,6 +142,53 @@ def test_statistics():
     assert statistics("12 34")[0] == "other" and statistics("x" * 200_000)[1][1] == 1
 
 
+ODD = ["ΟΔΟΣ ΟΔΟΣ. İstanbul ΣΑΣ'Σ don't 'tis rock’n’roll's 3f f3 x²½ ٣a naïve\u0301 日本語 Ⅷ _a_b a_1 12.5,7", "the - of -- and — to-the ( of ) \x1cin\x1d is\x1ethat\x1f it\x85was\xa0for\u2028on\u3000are\tas", "a" * 300 + "'s the " + "the,of-" * 90 + " 1" * 5 + " »the«"]
+
+
+def test_counts_by_token_are_those_of_the_whole_text(monkeypatch):
+    def by_text(text):
+        words, tokens = prose._WORD.findall(text.lower()), text.split()
+        n, solid, letters, digits = len(words), sum(map(len, tokens)), sum(map(len, words)), sum(map(len, prose._DIGITS.findall(text)))
+        bare = text.replace("'", "").replace("’", "").split()
+        most = max(prose.COMMON_WORDS, key=lambda g: sum(w in prose.COMMON_WORDS[g] for w in words))
+        return (
+            most if n and sum(w in prose.COMMON_WORDS[most] for w in words) >= 0.05 * n else "other", float(n), letters / n if n else 0.0, max(0, solid - letters - digits) / solid, digits / solid,
+            sum(w in prose._ALL_COMMON for w in words) / n if n else 0.0, sum(t.strip(prose._OUTER).isalpha() for t in bare) / len(tokens),
+        )
+
+    texts = PROSE + OTHER + ODD + [" ".join(ODD), "\n".join(PROSE + OTHER)]
+    first = list(map(statistics, texts))
+    for text, (lang, values) in zip(texts, first, strict=True):
+        v = dict(zip(Q.STATISTICS, values, strict=True))
+        assert (lang, *(v[s] for s in ("n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_words", "word_tokens"))) == by_text(text)
+    monkeypatch.setattr(prose, "KEPT_TOKENS", 3)  # what was forgotten is counted again
+    prose._TOKENS.clear()
+    assert list(map(statistics, texts)) == first and len(prose._TOKENS) <= 3
+
+
+def test_clauses_with_dashes_gaps_and_other_white_space():
+    words = "we ask of the scorer and the trace has it".split()
+    got = [sentence_chars(s.join(words) + ".")[0] for s in (" ", ", ", " - ", " -- ", "\t", "\xa0", "   ", "\u3000", "-", "/")]
+    assert got == [33, 0, 0, 0, 0, 42, 33, 42, 0, 0]
+    assert sentence_chars("- we ask the parser - it has moved - and we ask the other one of them -") == (52, 52)
+
+
+def test_words_that_repeat_are_scanned_once(monkeypatch):
+    class Counting:
+        def __init__(self, pattern):
+            self.pattern, self.chars = pattern, 0
+
+        def findall(self, text):
+            self.chars += len(text)
+            return self.pattern.findall(text)
+
+    words = Counting(prose._WORD)
+    monkeypatch.setattr(prose, "_WORD", words)
+    text = "\n\n".join(PROSE * 200)
+    assert statistics(text)[1][7] == 1.0
+    assert words.chars < len(text) / 10
+
+
 def test_not_prose(spark, rows):
     texts = PROSE * 6 + OTHER + ["", None, " \u00a0 "]
     df = docs(spark, *texts)
